@@ -24,7 +24,9 @@ SKETCHED = BITS - WIDTH_BITS
 RANK_ERROR = 0.01
 #: Distinct codes from which a sketch is held densely.
 SPARSE_CODES = 4096
-_DENSE_AT_ONCE = 24
+#: Codes that wait until they are taken into the counters together.
+ADD_AT_ONCE = 1 << 15
+_DENSE_AT_ONCE, _WAITING_AT_ONCE = 24, 1 << 22
 _STATE = "level int, row int, codes binary, weights binary"
 
 _rng = np.random.Generator(np.random.PCG64(0x5EED))
@@ -62,24 +64,36 @@ class Sketch:
         self.codes, self.weights = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.cells: np.ndarray | None = None  # sketched levels x rows x width
         self.tops: np.ndarray | None = None  # exact counters of the finest exact level
+        self._waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self._n_waiting = 0
 
     def add(self, codes: np.ndarray, weights: np.ndarray) -> None:
-        if self.cells is not None:
-            self._spread(codes, weights)
+        self._waiting.append((codes, weights))
+        self._n_waiting += len(codes)
+        if self._n_waiting >= ADD_AT_ONCE:
+            self.settle()
+
+    def settle(self) -> None:
+        """Take in the codes that wait; they are gathered since a pass over all counters costs the same for one as for many."""
+        if not self._n_waiting:
             return
-        all_codes = np.concatenate([self.codes, codes])
-        self.codes, at = np.unique(all_codes, return_inverse=True)
-        w = np.zeros(len(self.codes), np.int64)
-        np.add.at(w, at, np.concatenate([self.weights, weights]))
-        self.codes, self.weights = self.codes[w != 0], w[w != 0]
-        if len(self.codes) > SPARSE_CODES:
-            self._densify()
+        codes = np.concatenate([c for c, _ in self._waiting] + [self.codes])
+        weights = np.concatenate([w for _, w in self._waiting] + [self.weights])
+        self._waiting, self._n_waiting = [], 0
+        codes, at = np.unique(codes, return_inverse=True)
+        total = np.zeros(len(codes), np.int64)
+        np.add.at(total, at, weights)
+        codes, total = codes[total != 0], total[total != 0]
+        if self.cells is None and len(codes) <= SPARSE_CODES:
+            self.codes, self.weights = codes, total
+            return
+        self._densify()
+        self._spread(codes, total)
 
     def _densify(self) -> None:
         if self.cells is None:
             self.cells = np.zeros((SKETCHED, DEPTH, WIDTH), np.int64)
             self.tops = np.zeros(WIDTH, np.int64)
-            self._spread(self.codes, self.weights)
             self.codes, self.weights = self.codes[:0], self.weights[:0]
 
     def _spread(self, codes: np.ndarray, weights: np.ndarray) -> None:
@@ -91,7 +105,11 @@ class Sketch:
         self.tops += np.bincount(codes >> SKETCHED, weights, WIDTH).astype(np.int64)
 
     def add_row(self, level: int, row: int, weights: np.ndarray) -> None:
-        self._densify()
+        if self.cells is None:
+            # sparse codes so far are spread into the counters
+            self._waiting.append((self.codes, self.weights))
+            self._n_waiting += len(self.codes)
+            self._densify()
         if level == SKETCHED:
             self.tops += weights
         else:
@@ -99,6 +117,7 @@ class Sketch:
 
     def rows(self) -> Iterator[tuple[int, int, bytes | None, bytes]]:
         """The state as rows (level, row, codes, weights); level -1 is the sparse form."""
+        self.settle()
         if self.cells is None:
             if len(self.codes):
                 yield -1, 0, self.codes.tobytes(), self.weights.tobytes()
@@ -110,6 +129,7 @@ class Sketch:
 
     def quantiles(self, shares: list[float]) -> tuple[int, list[float | None]]:
         """Rows in the group, and for each share the least value with at least that share of rows up to it."""
+        self.settle()
         if self.cells is None:
             n = int(self.weights.sum())
             if n <= 0:
@@ -169,7 +189,7 @@ def _build(names: list[str]):
         # states of all groups of the task; dense ones are sent on when there are many
         groups: dict[tuple, Sketch] = {}
         types: list[pa.DataType] = []
-        dense = 0
+        dense = waiting = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             keys = [pa.array([g[i] for g in groups], t) for i, t in enumerate(types)]
@@ -198,9 +218,16 @@ def _build(names: list[str]):
                 was = sketch.cells is not None
                 sketch.add(value[order[a:b]], weight[order[a:b]])
                 dense += (sketch.cells is not None) - was
+                waiting += int(b - a)
                 if dense >= _DENSE_AT_ONCE or len(groups) > 100_000:
                     yield from out()
-                    dense = 0
+                    dense = waiting = 0
+            if waiting > _WAITING_AT_ONCE:
+                for sketch in groups.values():
+                    was = sketch.cells is not None
+                    sketch.settle()
+                    dense += (sketch.cells is not None) - was
+                waiting = 0
         if groups:
             yield from out()
 
