@@ -87,7 +87,7 @@ _REST_M = """a as (select ord, c.sample, c.fiber_int_id, case when bool_or(p.chr
 s as (select ord, c.sample, c.fiber_int_id, case when bool_or(p.chrom is not null) then count(m.s) end n_msp, avg(m.w) mean_msp_width
   from cand c left join mspl m on m.sample = c.sample and m.chrom = c.chrom and m.fiber_int_id = c.fiber_int_id and m.s >= rs and m.e <= re
   left join (select distinct sample, chrom from mspl) p on p.sample = c.sample and p.chrom = c.chrom group by 1, 2, 3),
-f as (select ord, c.sample, c.fiber_int_id, case when bool_or(p.chrom is not null) then count(m.s) end n_fire_accessibility, min(score) min_fire_score, avg(score) mean_fire_score, (sum(greatest(least(m.e, re) - greatest(m.s, rs), 0)) filter (where m.s is not null))::bigint fire_overlap_bp
+f as (select ord, c.sample, c.fiber_int_id, case when bool_or(p.chrom is not null) then count(m.s) end n_fire_accessibility, min(score) min_fire_score, avg(score) mean_fire_score, (sum(greatest(least(m.e, re) - greatest(m.s, rs), 0)) filter (where m.s is not null))::double fire_overlap_bp
   from cand c left join firel m on m.sample = c.sample and m.chrom = c.chrom and m.fiber_int_id = c.fiber_int_id and m.e >= rs and m.s <= re
   left join (select distinct sample, chrom from firel) p on p.sample = c.sample and p.chrom = c.chrom group by 1, 2, 3)"""
 _HEAD = "ord, annotation, c.sample, fiber_id, c.chrom || ':' || rs || '-' || re region_id"
@@ -118,7 +118,7 @@ from cand c join n {_USING} join m {_USING} join a {_USING} join s {_USING} join
 def annotate_all_layers(spark: SparkSession, d: str) -> DataFrame:
     names = ["nucleosomes", "5mC", "5hmC", "6mA", "msp", "fire_accessibility"]
     out = annotate.query_annotation(t.annotations(spark, d), t.fibers(spark, d), t.layers(spark, d), None, None, names)
-    return _rounded(out, "mean_nuc_width", "mean_linker", "mean_repeat_length", "pct_methylated", "mean_msp_width", "min_fire_score", "mean_fire_score")
+    return _rounded(out, "mean_nuc_width", "mean_linker", "mean_repeat_length", "pct_methylated", "mean_msp_width", "min_fire_score", "mean_fire_score", "fire_overlap_bp")
 
 
 @query(with_("nuc", "span", "fib", "sane", "reg") + _CAND + f", {_NUC_M} select {_HEAD}, {_NUC_OUT} from cand c join n {_USING} where ord in (select ord from reg where annotation = 'Stitched' order by ord limit 50)")
