@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from strandframe.session import broadcast_if_small
 
 #: Blocks of so few lines go to the strict parser at once.
-STRICT_LINES = 6
+STRICT_LINES = 64
 
 # Fixed values of the two formats.
 MISSING = ("", ".", "NA", "NaN", "nan")
@@ -191,7 +192,7 @@ def _cells(lines: pa.Array, n: int) -> list[pa.Array]:
     flat = pc.list_flatten(pc.split_pattern(lines, "\t"))
     if len(flat) != n * len(lines):
         raise _Doubt
-    return [flat.take(pa.array(range(i, len(flat), n), pa.int64())) for i in range(n)]
+    return [flat.take(pa.array(np.arange(i, len(flat), n))) for i in range(n)]
 
 
 def _lists(c: pa.Array, to: pa.DataType) -> pa.ListArray:
