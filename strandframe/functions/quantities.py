@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.functions.units import OWN_UNIT, cell_unit, note_units
-from strandframe.session import broadcast_if_small
+from strandframe.session import broadcast_if_small, checkpointed
 
 #: A cell of nothing but numbers, list commas and missing tokens; Java and DuckDB read it alike.
 BARE = r"^[-+0-9.,eE \t]*$"
@@ -131,7 +131,8 @@ def recorded_units(m5c: DataFrame, records: DataFrame, runs: DataFrame) -> DataF
     having one unit). Cells that are null, empty or hold missing tokens only give no row. A cell with text that
     names no unit is taken as bare. Repeated rows are kept; other columns are ignored.
     """
-    units = broadcast_if_small(run_units(m5c, records, runs), ["run", "field"])
+    # a row a run and field; kept, since it is counted and then joined twice
+    units = broadcast_if_small(checkpointed(run_units(m5c, records, runs)), ["run", "field"])
     return _per_field(m5c, "call_id", ["prob"], "m5c", units).unionByName(_per_field(records, "all_id", list(QUALITY_FIELDS), "all_records", units))
 
 
