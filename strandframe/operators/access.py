@@ -38,7 +38,7 @@ def spanning_fibers(fibers: DataFrame, regions: DataFrame, min_coverage: float =
 def calls_of_fiber(layer: DataFrame, fibers: DataFrame, fiber_id: str, chrom: str, sample: str) -> DataFrame:
     """A layer's calls on one fiber, in input order."""
     one = fibers.where((F.col("fiber_id") == fiber_id) & (F.col("chrom") == chrom) & (F.col("sample") == sample)).select("sample", "chrom", "fiber_int_id")
-    return layer.join(F.broadcast(one.limit(1)), ["sample", "chrom", "fiber_int_id"], "left_semi").orderBy("ord")
+    return layer.join(F.broadcast(one.limit(1)), ["sample", "chrom", "fiber_int_id"], "left_semi").orderBy("ord", "pos" if "pos" in layer.columns else "start")
 
 
 def fiber_lookup(fibers: DataFrame) -> DataFrame:

@@ -20,8 +20,8 @@ def canonical_pairs(pairs: DataFrame, a: str, b: str, value: str, order: str, to
     rows = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("key_a", F.least(a, b)).withColumn("key_b", F.greatest(a, b))
     per = rows.groupBy("key_a", "key_b").agg(F.min_by(F.struct(*[c for c in rows.columns if c not in ("key_a", "key_b")]), order).alias("r"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("n_listed"))
     agree = F.coalesce((F.col("_hi") - F.col("_lo")) <= tolerance * F.greatest(F.abs("_lo"), F.abs("_hi")), F.lit(True))
-    checked = F.when(agree, F.col("n_listed")).otherwise(F.raise_error(F.concat(F.lit("listings disagree for "), F.col("key_a"), F.lit(" and "), F.col("key_b"))).cast("long"))
-    return per.withColumn("n_listed", checked).select("key_a", "key_b", "r.*", "n_listed")
+    checked = F.when(agree, True).otherwise(F.raise_error(F.concat(F.lit("listings disagree for "), F.col("key_a"), F.lit(" and "), F.col("key_b"))).cast("boolean"))
+    return per.where(checked).select("key_a", "key_b", "r.*", "n_listed")
 
 
 def membership(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

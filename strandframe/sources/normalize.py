@@ -39,7 +39,8 @@ def raw_file(spark: SparkSession, path: str, fmt: str) -> DataFrame:
 def valid_or_raise(loaded: DataFrame) -> DataFrame:
     """The loaded rows; reading an invalid one raises with its file, line and reason."""
     why = F.concat(F.col("file_name"), F.lit(":"), F.col("line_no").cast("string"), F.lit(": "), F.col("reason"))
-    return loaded.withColumn("rec_id", F.when(F.col("reason").isNull(), F.col("rec_id")).otherwise(F.raise_error(why).cast("long")))
+    # as a filter, so that no pruning of columns takes the check away
+    return loaded.where(F.when(F.col("reason").isNull(), True).otherwise(F.raise_error(why).cast("boolean")))
 
 
 def nucleosome_csv_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -62,7 +63,7 @@ def normalized_block_bed(loaded: DataFrame, expected: str = "intervals") -> Data
     if expected == "single_base":
         other = F.size(F.filter(inner, lambda x: x != 1))
         ok = other <= SINGLE_BASE_SLACK * F.size(inner)
-        rows = rows.withColumn("chrom", F.when(ok, F.col("chrom")).otherwise(F.raise_error(F.concat(F.lit("not single bases: line "), F.col("line_no").cast("string"))).cast("string")))
+        rows = rows.where(F.when(ok, True).otherwise(F.raise_error(F.concat(F.lit("not single bases: line "), F.col("line_no").cast("string"))).cast("boolean")))
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return rows.select("chrom", "start", "end", "name", "score", "strand", "thick_start", "thick_end", F.coalesce("rgb", F.lit("0")).alias("rgb"), F.size("sizes").alias("block_count"), joined("sizes").alias("sizes"), joined("starts").alias("starts"))
 

@@ -152,7 +152,7 @@ def chrom_sizes(spark: SparkSession, path: str | Path) -> DataFrame:
 
 def gff_attributes(text: Column) -> Column:
     """Attributes of GFF3 (k=v;) and GTF (k "v";) text as a map; of a repeated key the last holds."""
-    parts = F.filter(F.transform(F.split(text, ";"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda x: x != "")
     pair = lambda x: F.struct(F.regexp_extract(x, r"^([^=\s]+)", 1).alias("k"), F.trim(F.regexp_replace(F.regexp_replace(x, r"^[^=\s]+(\s*=\s*|\s+)?", ""), r'^"|"$', "")).alias("v"))
     pairs = F.transform(parts, pair)
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
@@ -215,8 +215,8 @@ def cluster_ranks(spark: SparkSession, path: str | Path) -> DataFrame:
     counts = [_long(_at(6 + i)).alias(n) for i, n in enumerate(("n_both", "n_only_b", "n_only_a", "n_neither"))]
     out = rows.select(_at(0).alias("stitched_id"), _at(1).try_cast("double").alias("score"), _long(_at(2)).alias("rank"), (_at(3) == "Super").alias("is_super"), *counts).where("score is not null")
     per = out.groupBy("stitched_id").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct(*[c for c in out.columns if c != "stitched_id"])).alias("r"))
-    once = F.when(F.col("n") == 1, F.col("stitched_id")).otherwise(F.raise_error(F.concat(F.lit("listed twice: "), F.col("stitched_id"))).cast("string"))
-    return per.select(once.alias("stitched_id"), "r.*")
+    once = F.when(F.col("n") == 1, True).otherwise(F.raise_error(F.concat(F.lit("listed twice: "), F.col("stitched_id"))).cast("boolean"))
+    return per.where(once).select("stitched_id", "r.*")
 
 
 OBJECT_SCHEMA = "seId string, enhs array<struct<enhId string, fibers array<double>>>"
