@@ -70,6 +70,28 @@ def p6_per_month(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_loaded_blocks, p2_found, p2_mean_fraction, p4_found, p6_found, p6_per_month)}
 
+_FIELD = r"""("([^"]|"")*"|[^"\t][^\t]*|)"""
+_FIELDS = r"""[case when x like '"%' then replace(x[2:len(x) - 1], '""', '"') else x end for x in regexp_extract_all(L || chr(9), '("(?:[^"]|"")*"|[^\t]*)\t', 1)]"""
+_ENTRY, _NUMBER = r"(-?[0-9]+|\.|NA|NaN|nan)?", r"([-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?|\.|NA|NaN|nan)?"
+_ALL_LISTS = ("ref_nuc_starts", "ref_nuc_lengths", "ref_msp_starts", "ref_msp_lengths", "ref_m6a", "m6a_qual", "ref_5mC", "5mC_qual")
+_LINES = rf"""
+with raw as (select rec_id, fmt, file_name, line_no, regexp_replace(line, '\r$', '') l from raw_lines),
+recs as (select * from raw where trim(replace(l, chr(9), ' ')) <> '' and l not like '#%' and not (fmt = 'all_tsv' and line_no = 1)),
+heads as (select file_name, [regexp_replace(x, '^#', '') for x in {_FIELDS.replace("L ||", "h ||")}] hc from (select file_name, regexp_replace(min(line), '\r$', '') h from raw_lines where fmt = 'all_tsv' and line_no = 1 group by 1)),
+parsed as (select *, regexp_full_match(l, '{_FIELD}(\t{_FIELD})*') quotes, {_FIELDS.replace("L ||", "l ||")} c from recs),
+bed as (select *, [try_cast(x as bigint) for x in string_split(regexp_replace(c[len(c) - 1], ',$', ''), ',')] sz, [try_cast(x as bigint) for x in string_split(regexp_replace(c[len(c)], ',$', ''), ',')] st from parsed where fmt = 'block_bed'),
+bed_ok as (select rec_id, c, sz, quotes and len(c) in (10, 11, 12) and regexp_full_match(c[2], '-?[0-9]+') and regexp_full_match(c[3], '-?[0-9]+') and regexp_full_match(c[7], '-?[0-9]+') and regexp_full_match(c[8], '-?[0-9]+')
+  and try_cast(c[2] as bigint) <= try_cast(c[3] as bigint) and try_cast(c[7] as bigint) <= try_cast(c[8] as bigint) and c[6] in ('+', '-', '.')
+  and regexp_full_match(c[len(c) - 1], '-?[0-9]+(,-?[0-9]+)*,?') and regexp_full_match(c[len(c)], '-?[0-9]+(,-?[0-9]+)*,?') and len(sz) = len(st) and list_min(sz) >= 0 and list_min(st) >= 0
+  and list_max(st) <= try_cast(c[3] as bigint) - try_cast(c[2] as bigint) and (len(c) <> 12 or regexp_full_match(c[10], '-?[0-9]+') and try_cast(c[10] as bigint) = len(sz)) ok from bed),
+cells as (select rec_id, quotes and hc is not null and len(c) = len(hc) shaped, {", ".join(f"c[list_position(hc, '{n}')] c_{n}" for n in ("ct", "st", "en", "fiber", "strand", *_ALL_LISTS, "fire"))} from parsed left join heads using (file_name) where fmt = 'all_tsv'),
+lens as (select *, {", ".join(f"len(string_split(regexp_replace(c_{n}, ',$', ''), ',')) n_{n}" for n in (*_ALL_LISTS, "fire"))} from cells),
+all_ok as (select rec_id, shaped and {" and ".join(f"c_{n} <> ''" for n in ("ct", "st", "en", "fiber", "strand"))} and regexp_full_match(c_st, '-?[0-9]+') and regexp_full_match(c_en, '-?[0-9]+')
+  and {" and ".join(f"regexp_full_match(c_{n}, '{_ENTRY}(,{_ENTRY})*')" for n in _ALL_LISTS)} and regexp_full_match(c_fire, '{_NUMBER}(,{_NUMBER})*')
+  and n_ref_nuc_starts = n_ref_nuc_lengths and n_ref_msp_starts = n_ref_msp_lengths and n_ref_msp_starts = n_fire and n_ref_m6a = n_m6a_qual and n_ref_5mC = n_5mC_qual
+  and {" and ".join(f"len([x for x in list_zip(string_split(c_{p}, ','), string_split(c_{q}, ',')) if try_cast(x[1] as bigint) >= 0 and not coalesce(try_cast(x[2] as bigint) between 0 and 255, false)]) = 0" for p, q in (("ref_m6a", "m6a_qual"), ("ref_5mC", "5mC_qual")))} ok from lens)
+"""
+
 _P4 = """
 with spans as (
   select sample, chrom, fiber_int_id, starts s, ends e from nucleosomes union all
@@ -151,6 +173,9 @@ units as (
 )
 
 ORACLES = {
+    "p1_found": _LINES + "select rec_id from (select rec_id, ok from bed_ok union all select rec_id, ok from all_ok) where not coalesce(ok, false)",
+    "p1_loaded_blocks": _LINES
+    + """select rec_id, c[1] chrom, c[2]::bigint as start, c[3]::bigint as "end", c[4] "name", c[6] strand, len(sz) n_blocks, list_sum(sz)::bigint block_bp from bed_ok where ok""",
     "p2_found": _UNITS + "select distinct src_table, row_id, field, unit from units where unit <> own",
     "p2_mean_fraction": _UNITS
     + r""", vals as (
