@@ -133,13 +133,14 @@ def region_fibers(regions: DataFrame, fibers: DataFrame, layers: dict[str, DataF
     group = ["ord", "sample", "chrom", "fiber_int_id", "fs", "fe", "rs", "re", "flank"]
     # the calls of one fiber near one region: bounded by the window
     of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("c_ord", "a", "b", "v"))))
-    return spans.join(calls, on, "left").groupBy(*group).agg(of("n").alias("nuc"), of("m").alias("met"))
+    near = spans.join(calls, on, "left").groupBy(*group).agg(of("n").alias("nuc"), of("m").alias("met"))
+    take = lambda c, f: F.transform(c, lambda x: x[f])
+    return near.select(*group, take("nuc", "a").alias("nuc_a"), take("nuc", "b").alias("nuc_b"), take("met", "a").alias("met_a"), take("met", "v").alias("met_v"))
 
 
-def _arrays(cell: list | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    a = np.array([x["a"] for x in cell], np.int64)
-    b = np.array([x["b"] for x in cell], np.int64)
-    return a, b, np.array([x["v"] for x in cell], np.float64)
+def _without_nan(df: DataFrame, *columns: str) -> DataFrame:
+    """NaN in vector columns as null."""
+    return df.withColumns({c: F.transform(c, lambda x: F.nanvl(x, F.lit(None).cast("double"))) for c in columns})
 
 
 class _Sum:
@@ -165,10 +166,6 @@ def _mean(v: np.ndarray) -> float | None:
     return None if np.isnan(v).all() else float(np.nanmean(v))
 
 
-def _cells(v: np.ndarray) -> list:
-    return [None if np.isnan(x) else float(x) for x in v]
-
-
 def _streamed(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, Iterator]]:
     """Rows of a sorted stream, with a mark where the region or sample changes."""
     last = None
@@ -179,7 +176,7 @@ def _streamed(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, Iterator
             last = key
 
 
-def _body_kernel(bins_of: dict[int, int], min_fibers: int):
+def _body_kernel(min_fibers: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: dict = {}
 
@@ -192,7 +189,7 @@ def _body_kernel(bins_of: dict[int, int], min_fibers: int):
             parts = lambda v: np.r_[resize(v[:left], FLANK_BINS), resize(v[left : left + size], METAPLOT_BODY_BINS), resize(v[left + size :], FLANK_BINS)]
             bins = state["bins"]
             return pd.DataFrame(
-                [[state["ord"], state["sample"], state["n"], _cells(resize(body_nuc, bins)), _cells(resize(smooth(body_met), bins)), _cells(parts(nuc)), _cells(parts(met)), _mean(body_nuc), _mean(body_met)]],
+                [[state["ord"], state["sample"], state["n"], (resize(body_nuc, bins)), (resize(smooth(body_met), bins)), (parts(nuc)), (parts(met)), _mean(body_nuc), _mean(body_met)]],
                 columns=["ord", "sample", "n_fibers", "nuc_body", "met_body", "nuc_meta", "met_meta", "mean_nuc_occupancy", "mean_methylation"],
             )
 
@@ -205,10 +202,8 @@ def _body_kernel(bins_of: dict[int, int], min_fibers: int):
                 n = r.re + r.flank - low
                 state = {"ord": r.ord, "sample": r.sample, "n": 0, "low": low, "length": n, "left": r.rs - low, "size": r.re - r.rs, "bins": r.bins, "nuc": _Sum(n), "met": _Sum(n)}
             state["n"] += 1
-            s, e, _ = _arrays(r.nuc)
-            p, _, v = _arrays(r.met)
-            state["nuc"].add(occupancy(s, e, state["low"], state["length"], (r.fs, r.fe)))
-            state["met"].add(methylation(p, v, state["low"], state["length"], (r.fs, r.fe)))
+            state["nuc"].add(occupancy(r.nuc_a, r.nuc_b, state["low"], state["length"], (r.fs, r.fe)))
+            state["met"].add(methylation(r.met_a, r.met_v, state["low"], state["length"], (r.fs, r.fe)))
         done = close()
         if done is not None:
             yield done
@@ -216,6 +211,11 @@ def _body_kernel(bins_of: dict[int, int], min_fibers: int):
     return run
 
 
+def _kernel_tasks(df: DataFrame) -> int:
+    """Tasks of a kernel stage: as many as a shuffle has. Given as a number, AQE doesn't join them by their few bytes, as a kernel's work is not its input's size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _check(regions: DataFrame, annotations: list[str]) -> None:
     known = {r[0] for r in regions.select("annotation").distinct().limit(10_000).collect()}
     if unknown := [a for a in annotations if a not in known]:
@@ -249,7 +249,8 @@ def annotation_matrices(regions: DataFrame, fibers: DataFrame, layers: dict[str,
     joined = region_fibers(rows, fibers, layers, min_fiber_coverage, F.lit(flank_bp))
     bins = rows.select(F.col("ord").alias("_o"), "bins", F.col("annotation"), F.col("id").alias("region_id"))
     spread = joined.join(broadcast_if_small(bins.select("_o", "bins"), []), F.col("ord") == F.col("_o")).drop("_o")
-    out = spread.repartition("ord", "sample").sortWithinPartitions("ord", "sample", "fiber_int_id").mapInPandas(_body_kernel({}, min_fibers), _MATRIX)
+    out = spread.repartition(_kernel_tasks(regions), "ord", "sample").sortWithinPartitions("ord", "sample", "fiber_int_id").mapInPandas(_body_kernel(min_fibers), _MATRIX)
+    out = _without_nan(out, "nuc_body", "met_body", "nuc_meta", "met_meta")
     return out.join(broadcast_if_small(bins.select("_o", "annotation", "region_id"), ["annotation", "region_id"]), F.col("ord") == F.col("_o")).drop("_o")
 
 
@@ -286,7 +287,7 @@ def _centered_kernel(min_fibers: int):
             met, binned = smooth(raw), state["bins"].mean()
             if state["back"]:
                 nuc, met, binned = nuc[::-1], met[::-1], binned[::-1]
-            return pd.DataFrame([[state["ord"], state["sample"], state["n"], _cells(nuc), _cells(met), _cells(binned), _mean(nuc), _mean(raw)]], columns=["ord", "sample", "n_fibers", "nuc", "met", "met_binned", "mean_nuc_occupancy", "mean_methylation"])
+            return pd.DataFrame([[state["ord"], state["sample"], state["n"], (nuc), (met), (binned), _mean(nuc), _mean(raw)]], columns=["ord", "sample", "n_fibers", "nuc", "met", "met_binned", "mean_nuc_occupancy", "mean_methylation"])
 
         for new, r in _streamed(batches):
             if new:
@@ -296,10 +297,8 @@ def _centered_kernel(min_fibers: int):
                 n = 2 * r.extension
                 state = {"ord": r.ord, "sample": r.sample, "n": 0, "low": r.center - r.extension, "length": n, "back": r.strand == -1, "nuc": _Sum(n), "met": _Sum(n), "bins": _Sum(max(1, n // BIN_SIZE))}
             state["n"] += 1
-            s, e, _ = _arrays(r.nuc)
-            p, _, v = _arrays(r.met)
-            state["nuc"].add(occupancy(s, e, state["low"], state["length"], (r.fs, r.fe)))
-            vector = methylation(p, v, state["low"], state["length"], (r.fs, r.fe))
+            state["nuc"].add(occupancy(r.nuc_a, r.nuc_b, state["low"], state["length"], (r.fs, r.fe)))
+            vector = methylation(r.met_a, r.met_v, state["low"], state["length"], (r.fs, r.fe))
             state["met"].add(vector)
             state["bins"].add(binned_methylation([vector], state["length"]))
         done = close()
@@ -324,7 +323,8 @@ def centered_matrices(regions: DataFrame, fibers: DataFrame, layers: dict[str, D
     joined = region_fibers(rows, fibers, layers, min_fiber_coverage, F.col("extension") * 2)
     place = rows.select(F.col("ord").alias("_o"), "center", "extension", "strand")
     spread = joined.join(broadcast_if_small(place, []), F.col("ord") == F.col("_o")).drop("_o")
-    out = spread.repartition("ord", "sample").sortWithinPartitions("ord", "sample", "fiber_int_id").mapInPandas(_centered_kernel(min_fibers), _CENTERED)
+    out = spread.repartition(_kernel_tasks(regions), "ord", "sample").sortWithinPartitions("ord", "sample", "fiber_int_id").mapInPandas(_centered_kernel(min_fibers), _CENTERED)
+    out = _without_nan(out, "nuc", "met", "met_binned")
     named = rows.select(F.col("ord").alias("_o"), "annotation", F.col("id").alias("region_id"), "chrom", "start", "end", "center", "strand", "gene")
     return out.join(broadcast_if_small(named, ["annotation", "region_id", "gene"]), F.col("ord") == F.col("_o")).drop("_o").orderBy(F.col("mean_nuc_occupancy").desc_nulls_last(), "ord", "sample")
 
