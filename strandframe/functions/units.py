@@ -30,9 +30,9 @@ _LEXICON = {
     "per": ("prefix", "per"), "percent": ("unit", "percent"), "cent": ("root", "percent"), "mille": ("root", "permille"), "mil": ("root", "permille"), "thousand": ("root", "permille"), "hundred": ("root", "percent"),
     # scales: range ends, factors, divisors
     "0-1": ("scale", 1), "0..1": ("scale", 1), "[0,1]": ("scale", 1), "[0, 1]": ("scale", 1), "0 to 1": ("scale", 1), "0–1": ("scale", 1),
-    "0-100": ("scale", 100), "0..100": ("scale", 100), "[0,100]": ("scale", 100), "[0, 100]": ("scale", 100), "0 to 100": ("scale", 100), "0–100": ("scale", 100), "x100": ("scale", 100), "x 100": ("scale", 100), "*100": ("scale", 100), "* 100": ("scale", 100), "times 100": ("scale", 100), "/100": ("scale", 100), "/ 100": ("scale", 100),
-    "0-1000": ("scale", 1000), "0..1000": ("scale", 1000), "[0,1000]": ("scale", 1000), "[0, 1000]": ("scale", 1000), "0 to 1000": ("scale", 1000), "0–1000": ("scale", 1000), "x1000": ("scale", 1000), "x 1000": ("scale", 1000), "*1000": ("scale", 1000), "* 1000": ("scale", 1000), "times 1000": ("scale", 1000), "/1000": ("scale", 1000), "/ 1000": ("scale", 1000),
-    "0-255": ("scale", 255), "0..255": ("scale", 255), "[0,255]": ("scale", 255), "[0, 255]": ("scale", 255), "0 to 255": ("scale", 255), "0–255": ("scale", 255), "x255": ("scale", 255), "x 255": ("scale", 255), "*255": ("scale", 255), "times 255": ("scale", 255), "/255": ("scale", 255), "/ 255": ("scale", 255),
+    "0-100": ("scale", 100), "0..100": ("scale", 100), "[0,100]": ("scale", 100), "[0, 100]": ("scale", 100), "0 to 100": ("scale", 100), "0–100": ("scale", 100), "x100": ("scale", 100), "x 100": ("scale", 100), "*100": ("scale", 100), "* 100": ("scale", 100), "times 100": ("scale", 100), "multiplied by 100": ("scale", 100), "scaled to 100": ("scale", 100), "out of 100": ("scale", 100), "hundredths": ("scale", 100), "/100": ("scale", 100), "/ 100": ("scale", 100),
+    "0-1000": ("scale", 1000), "0..1000": ("scale", 1000), "[0,1000]": ("scale", 1000), "[0, 1000]": ("scale", 1000), "0 to 1000": ("scale", 1000), "0–1000": ("scale", 1000), "x1000": ("scale", 1000), "x 1000": ("scale", 1000), "*1000": ("scale", 1000), "* 1000": ("scale", 1000), "times 1000": ("scale", 1000), "multiplied by 1000": ("scale", 1000), "scaled to 1000": ("scale", 1000), "out of 1000": ("scale", 1000), "thousandths": ("scale", 1000), "/1000": ("scale", 1000), "/ 1000": ("scale", 1000),
+    "0-255": ("scale", 255), "0..255": ("scale", 255), "[0,255]": ("scale", 255), "[0, 255]": ("scale", 255), "0 to 255": ("scale", 255), "0–255": ("scale", 255), "x255": ("scale", 255), "x 255": ("scale", 255), "*255": ("scale", 255), "times 255": ("scale", 255), "multiplied by 255": ("scale", 255), "scaled to 255": ("scale", 255), "out of 255": ("scale", 255), "/255": ("scale", 255), "/ 255": ("scale", 255),
     # what a statement speaks of
     "prob": ("field", "prob"), "probs": ("field", "prob"), "probability": ("field", "prob"), "probabilities": ("field", "prob"), "likelihood": ("field", "prob"), "likelihoods": ("field", "prob"),
     "ml": ("field", "qual"), "list": ("field", "qual"), "lists": ("field", "qual"), "quality": ("field", "qual"), "qualities": ("field", "qual"), "qual": ("field", "qual"), "quals": ("field", "qual"),
@@ -135,7 +135,8 @@ def cell_unit(affix: str) -> str | None:
     return str(units[0]) if units else None
 
 
-_DIVIDED = re.compile(r"divided by ([0-9]+)")
+#: In a note a division tells what was done; in a cell ("12/255") it is the unit.
+_DIVIDED = re.compile(r"(?:divided by|/) ?([0-9]+)(?![0-9.])")
 
 
 def note_units(note: str | None) -> dict[str, str]:

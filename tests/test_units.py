@@ -32,6 +32,8 @@ def test_units_of_cells(affix, unit):
         ("probabilities divided by 255 at export; lists untouched", {"prob": "fraction", "m5c_qual": "byte", "m6a_qual": "byte"}),
         ("quality lists phred-like: -10 log10(1-p)", {"m5c_qual": "phred", "m6a_qual": "phred"}),
         ("m6A lists in percent", {"m6a_qual": "percent"}),
+        ("prob = ML / 255", {"prob": "fraction"}),
+        ("probabilities in thousandths", {"prob": "permille"}),
         ("half flow cell, low yield", {}),
         ("checked by bench team", {}),
         ("3 ml added, 255 reads lost", {}),
