@@ -14,9 +14,9 @@ _EMPTY_REF = re.compile(r"<ref\b[^>]*/\s*>", re.I)
 _REF = re.compile(r"<ref\b[^>]*>.*?(?:</ref\s*>|\Z)", re.I | re.S)
 _TABLE_LINE = re.compile(r"^[ \t]*(?:\{\|[^\n]*|\|-[^\n]*|\|\}|\|\+)", re.M)
 _CELL = re.compile(r"^[ \t]*[|!]", re.M)
-_CELL_ATTRIBUTES = re.compile(r"""(^[ \t]*[|!]|\|\||!!)[ \t]*(?:[a-zA-Z-]+[ \t]*=[ \t]*(?:"[^"\n]*"|'[^'\n]*'|[^\s|"']+)[ \t]*)+\|(?!\|)""", re.M)
+_CELL_ATTRIBUTES = re.compile(r"""(^[ \t]*[|!]|\|\||!!)[ \t]*(?:[a-zA-Z-]++[ \t]*+=[ \t]*+(?:"[^"|\n]*+"|'[^'|\n]*+'|[^\s|"'=!]++)[ \t]*+)++\|(?!\|)""", re.M)
 _LINK = re.compile(r"\[\[([^\[\]]*)\]\]")
-_EXTERNAL = re.compile(r"\[(?:https?:|ftp:)?//[^\s\]]*[ \t]*([^\]\n]*)\]")
+_EXTERNAL = re.compile(r"\[(?:https?:|ftp:)?//[^\s\[\]]*[ \t]*([^\[\]\n]*)\]")
 _EMPHASIS = re.compile(r"'{2,}")
 _BREAK_TAG = re.compile(r"</?(?:br|p|div|li|ul|ol|dl|dd|dt|td|th|tr|hr|table|blockquote|h[1-6]|section|poem|center)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")

@@ -106,3 +106,12 @@ def test_equal_windows_have_equal_minima():
     h = np.random.default_rng(0).integers(0, 2**63, 100).astype(np.uint64)
     assert window_minima(h, 8).tolist() == [h[k : k + 8].min() for k in range(93)]
     assert len(window_minima(h[:7], 8)) == 0
+
+
+@pytest.mark.parametrize("piece", ["[[", "[http://a ", "<a ", "!!a=", "|| a=b c=d ", "''", "{|", "<ref>", "<!--"])
+def test_markup_is_read_in_linear_time(piece):
+    import time
+
+    began = time.perf_counter()
+    words(piece * 20_000)
+    assert time.perf_counter() - began < 10
