@@ -5,7 +5,7 @@ verified; where a longer copy goes on in the middle of the word, sentence, entry
 which the shorter one ends, the shorter one was cut. Second, a text is scored by how it closes: by markup left
 open, by a sign that something was left out, and by how often its closing word's shape ends a line of that
 kind anywhere in the corpus. A closing line that other documents hold as a complete line before their
-end (a careless note, a template) is complete.
+end (a careless note, a template) is complete, unless markup is left open: a table's row stands in many tables.
 """
 
 from __future__ import annotations
@@ -28,8 +28,11 @@ BANDS, BAND_ROWS = 14, 5
 _WORDS_HASHED = 1 << 15
 #: A closing shape is unfinished where at most this share of its occurrences in lines of the kind ends a line.
 TERMINALITY = 0.02
-#: Documents in which a closing line must stand before the end, to be taken as complete.
+#: Shapes that end fewer lines are unfinished.
 LINE_WITNESSES = 2
+#: A closing line is complete where it stands before the end in this share of the documents that hold it, at least.
+#: So many documents are taken to be cut at any line, so that one witness is not enough for a line that ends one text.
+COMPLETE_SHARE, CUT_PRIOR = 0.3, 2
 
 _SIGN = re.compile(r"\s*(?:\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\)|…|(?<!\.)\.{3}|[\[(](?:truncated|cut|more|gekürzt|suite|sigue)[\])])\Z", re.I)
 #: The longest sign of omission with the space before it.
@@ -189,12 +192,15 @@ def unfinished(documents: DataFrame) -> DataFrame:
     scored = closings.join(broadcast_if_small(share, ["k", "s"]), (F.col("kind") == F.col("k")) & (F.col("shape") == F.col("s")), "left")
     weak = (F.coalesce("terminality", F.lit(0.0)) <= TERMINALITY) | (F.coalesce("n_end", F.lit(0)) < LINE_WITNESSES)
     suspects = scored.where("line <> ''").where(F.col("open") | F.col("sign") | (weak & F.col("kind").isin(*_WORDED)))
-    suspects = checkpointed(suspects.select("doc_id", F.xxhash64("line").alias("h")))
-    # a closing line that stands complete before the end of other documents
+    suspects = checkpointed(suspects.select("doc_id", "open", F.xxhash64("line").alias("h")))
+    # what closes by its word or sign alone may be a line that stands complete before the end of other documents
+    closed = suspects.where(~F.col("open"))
+    ended = closed.groupBy("h").agg(F.countDistinct("doc_id").alias("n_end"))
     complete = documents.select("doc_id", F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "").alias("ls"))
     complete = complete.select("doc_id", F.explode(F.transform(F.slice("ls", 1, F.greatest(F.size("ls") - 1, F.lit(0))), lambda x: F.xxhash64(x))).alias("h"))
-    witnesses = complete.join(suspects.select("h").distinct(), "h", "left_semi").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LINE_WITNESSES)
-    return suspects.join(witnesses, "h", "left_anti").select("doc_id")
+    witnesses = complete.join(ended.select("h"), "h", "left_semi").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    witnesses = witnesses.join(ended, "h").where(F.col("n") >= COMPLETE_SHARE * (F.col("n") + F.col("n_end") + CUT_PRIOR))
+    return suspects.where("open").select("doc_id").unionByName(closed.join(witnesses, "h", "left_anti").select("doc_id"))
 
 
 _rng = np.random.Generator(np.random.PCG64(0xC0FFEE))

@@ -85,3 +85,23 @@ def test_a_hot_group_of_copies(spark):
     rows = [(i, "a", text) for i in range(500)] + [(900, "a", text[: text.index("keepers", len(text) - 260) + 3])] + [(1000 + i, "b", page(rng)) for i in range(50)]
     found = {r.doc_id for r in truncated(spark.createDataFrame(rows, "doc_id long, source string, text string")).where("by_copy").collect()}
     assert found == {900}
+
+
+def test_a_cut_at_a_row_edge_of_a_table_has_no_witnesses(spark):
+    rng = random.Random(3)
+    table = '{| class="w"\n! Year !! Place\n|-\n| 1966 || Ham\n|-\n| 1967 || Dale\n|}'
+    rows = [(i, "a", page(rng) + "\n\n" + table + f"\n\n[[Category:Mills {i % 7}]]") for i in range(60)]
+    base = page(rng) + "\n\n"
+    rows += [(900, "a", base + table[: table.index("|-") + 2]), (901, "a", base + table[: table.index("Ham") + 3]), (902, "a", base + table)]
+    found = {r.doc_id for r in truncated(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert {900, 901} <= found and 902 not in found
+
+
+def test_witnesses_count_against_the_texts_that_a_line_ends(spark):
+    rng = random.Random(4)
+    note, cut = "no idea who wrote this lol...", "The mill of the old harbour and..."
+    text = lambda *lines: "\n\n".join([page(rng), *lines])
+    rows = [(i, "a", text(note, "All is said.")) for i in range(20)] + [(100 + i, "a", text(note)) for i in range(20)]
+    rows += [(200 + i, "a", text(cut, "All is said.")) for i in range(2)] + [(300 + i, "a", text(cut)) for i in range(40)]
+    found = {r.doc_id for r in truncated(spark.createDataFrame(rows, "doc_id long, source string, text string")).where("by_close").collect()}
+    assert not found & set(range(100, 120)) and set(range(300, 340)) <= found
