@@ -10,6 +10,7 @@ end (a careless note, a template) is complete, unless markup is left open: a tab
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -227,10 +228,50 @@ def band_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _tails(short: str) -> Iterator[str]:
+    """The ends of a text that are aligned: as they are, then without a sign of omission, the wider first."""
+    body = short.rstrip()
+    sign = _sign_at(body)
+    for own in (body, body[:sign]) if sign < len(body) else (body,):
+        for width in (80, 40):
+            tail = own[-width:]
+            if len(tail) >= 20:
+                yield tail
+
+
+def goes_on_inside(short: str, long: str) -> bool:
+    """Whether the longer text goes on inside the unit that ends the shorter.
+
+    The last words of the shorter text are looked for in the longer, as they are and then without a sign of omission.
+    Behind them the longer must go on in the same word, or in the same line where the shorter one closes no sentence.
+    """
+    for tail in _tails(short):
+        at = long.rfind(tail)
+        if at >= 0:
+            rest = long[at + len(tail) :]
+            if not rest.strip():
+                return False
+            inside_word = tail[-1].isalnum() and rest[0].isalnum()
+            goes_on = rest[0] != "\n" and bool(rest.split("\n", 1)[0].strip())
+            return inside_word or (goes_on and _CLOSED.search(tail.rstrip()) is None)
+    return False
+
+
+def _may_go_on(short: str) -> bool:
+    """Whether any longer text could go on inside the end of this one."""
+    return any(tail[-1].isalnum() or _CLOSED.search(tail.rstrip()) is None for tail in _tails(short))
+
+
+def _end_key(of: int, text: str) -> int:
+    """Equal for texts whose widest tail is the same: none of them goes on behind the other's end."""
+    tail = next(_tails(text), "")
+    return int.from_bytes(hashlib.blake2b(tail.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) if tail else of
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes = WordCodes()
 
-    def signed(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    def signed(held: list[tuple[int, str, np.ndarray]]) -> pa.RecordBatch:
         # the words of several documents are hashed in one go; shingles over an edge are left out
         length = np.array([len(w) for _, _, w in held])
         hashes = shingle_hashes(np.concatenate([w for _, _, w in held]), SHINGLE)
@@ -241,15 +282,17 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = length - (SHINGLE - 1)
         keys = band_keys(hashes[whole], np.r_[0, np.cumsum(counts)[:-1]])
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-        return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in held], pa.int64()), pa.array([n for _, n, _ in held], pa.int64()), lists], names=["doc_id", "size", "buckets"])
+        size, may, end = ([f(i, t) for i, t, _ in held] for f in (lambda _, t: len(t), lambda _, t: _may_go_on(t), _end_key))
+        columns = [pa.array([i for i, _, _ in held], pa.int64()), pa.array(size, pa.int64()), pa.array(may, pa.bool_()), pa.array(end, pa.int64()), lists]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "size", "may", "end", "buckets"])
 
     for batch in batches:
-        held: list[tuple[int, int, np.ndarray]] = []
+        held: list[tuple[int, str, np.ndarray]] = []
         n_words = 0
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for of, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = codes(_plain_words(text))
             if len(words) >= SHINGLE:
-                held.append((doc_id, len(text), words))
+                held.append((of, text, words))
                 n_words += len(words)
             if n_words >= _WORDS_HASHED:
                 yield signed(held)
@@ -258,40 +301,19 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield signed(held)
 
 
-def near_copy_candidates(documents: DataFrame) -> DataFrame:
-    """Pairs (doc_id, longer_id): each document with the longest member of each of its buckets.
+def near_copy_candidates(texts: DataFrame) -> DataFrame:
+    """Pairs (id, longer_id) of texts: each with every longer member of each of its buckets.
 
-    A bucket is never expanded into pairs: a group of copies, however large, gives one row a document and band,
-    merged before the shuffle into the longest member.
+    ``texts`` has id, which equal texts share, and text. Equal texts are one member of a bucket, so copies, however many,
+    give no pairs. Left out are only pairs that can't show a cut: a shorter text behind whose end nothing can go on, and
+    texts that end in the same words. Large buckets are split by the join.
     """
-    signatures = checkpointed(documents.select("doc_id", "text").mapInArrow(_signatures, "doc_id long, size long, buckets array<long>"))
-    bands = signatures.select("doc_id", "size", F.explode("buckets").alias("bucket"))
-    longest = bands.groupBy("bucket").agg(F.max(F.struct("size", "doc_id")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    longest = longest.select("bucket", F.col("top.size").alias("longer_size"), F.col("top.doc_id").alias("longer_id"))
-    pairs = bands.join(longest, "bucket").where("size < longer_size")
-    return pairs.select("doc_id", "longer_id").distinct()
-
-
-def goes_on_inside(short: str, long: str) -> bool:
-    """Whether the longer text goes on inside the unit that ends the shorter.
-
-    The last words of the shorter text are looked for in the longer, as they are and then without a sign of omission.
-    Behind them the longer must go on in the same word, or in the same line where the shorter one closes no sentence.
-    """
-    body = short.rstrip()
-    sign = _sign_at(body)
-    for own in (body, body[:sign]) if sign < len(body) else (body,):
-        for width in (80, 40):
-            tail = own[-width:]
-            at = long.rfind(tail)
-            if len(tail) >= 20 and at >= 0:
-                rest = long[at + len(tail) :]
-                if not rest.strip():
-                    return False
-                inside_word = tail[-1].isalnum() and rest[0].isalnum()
-                goes_on = rest[0] != "\n" and bool(rest.split("\n", 1)[0].strip())
-                return inside_word or (goes_on and _CLOSED.search(tail.rstrip()) is None)
-    return False
+    signatures = texts.mapInArrow(_signatures, "id long, size long, may boolean, end long, buckets array<long>")
+    signatures = checkpointed(signatures.dropDuplicates(["id"]))
+    bands = signatures.select("id", "size", "may", "end", F.explode("buckets").alias("bucket"))
+    longer = bands.select("bucket", F.col("id").alias("longer_id"), F.col("size").alias("longer_size"), F.col("end").alias("longer_end"))
+    pairs = bands.where("may").join(longer, "bucket").where("size < longer_size and end <> longer_end")
+    return pairs.select("id", "longer_id").distinct()
 
 
 def similarity(a: str, b: str) -> float:
@@ -306,13 +328,13 @@ def _ends_inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         inside = [goes_on_inside(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         keep = pa.array(inside, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["doc_id", "longer_id"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["id", "longer_id"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         alike = [similarity(a, b) >= SIMILARITY for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(alike, pa.bool_()))], names=["doc_id"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(alike, pa.bool_()))], names=["id"])
 
 
 def cut_copies(documents: DataFrame) -> DataFrame:
@@ -320,14 +342,19 @@ def cut_copies(documents: DataFrame) -> DataFrame:
 
     Of the shorter text only the end is brought to the longer one. Whole texts are compared for the pairs that are left.
     """
-    of = lambda doc, text: documents.select(F.col("doc_id").alias(doc), F.col("text").alias(text))
-    ends = documents.select("doc_id", F.expr(f"right(regexp_replace(text, '\\\\s+$', ''), {_END_LENGTH})").alias("ending"))
-    pairs = near_copy_candidates(documents).join(ends, "doc_id").join(of("longer_id", "longer"), "longer_id")
-    kept = checkpointed(pairs.select("doc_id", "longer_id", "ending", "longer").mapInArrow(_ends_inside, "doc_id long, longer_id long"))
-    ids = kept.select(F.explode(F.array("doc_id", "longer_id")).alias("id")).distinct()
-    texts = of("id", "text").join(broadcast_if_small(ids, []), "id", "left_semi")
-    both = kept.join(texts.select(F.col("id").alias("doc_id"), "text"), "doc_id").join(texts.select(F.col("id").alias("longer_id"), F.col("text").alias("longer")), "longer_id")
-    return both.select("doc_id", "text", "longer").mapInArrow(_alike, "doc_id long").distinct()
+    docs = documents.select("doc_id", F.xxhash64("text").alias("id"), "text")
+    pairs = checkpointed(near_copy_candidates(docs.select("id", "text")))
+
+    def of(wanted: DataFrame, column: str, value: F.Column, name: str) -> DataFrame:
+        ids = broadcast_if_small(wanted.select(F.col(column).alias("id")).distinct(), [])
+        return docs.join(ids, "id", "left_semi").select(F.col("id").alias(column), value.alias(name)).dropDuplicates([column])
+
+    ends = of(pairs, "id", F.expr(f"right(regexp_replace(text, '\\\\s+$', ''), {_END_LENGTH})"), "ending")
+    aligned = pairs.join(ends, "id").join(of(pairs, "longer_id", F.col("text"), "longer"), "longer_id")
+    kept = checkpointed(aligned.select("id", "longer_id", "ending", "longer").mapInArrow(_ends_inside, "id long, longer_id long"))
+    both = kept.join(of(kept, "id", F.col("text"), "text"), "id").join(of(kept, "longer_id", F.col("text"), "longer"), "longer_id")
+    found = both.select("id", "text", "longer").mapInArrow(_alike, "id long").distinct()
+    return docs.join(broadcast_if_small(checkpointed(found), []), "id", "left_semi").select("doc_id").distinct()
 
 
 def truncated(documents: DataFrame) -> DataFrame:

@@ -105,3 +105,14 @@ def test_witnesses_count_against_the_texts_that_a_line_ends(spark):
     rows += [(200 + i, "a", text(cut, "All is said.")) for i in range(2)] + [(300 + i, "a", text(cut)) for i in range(40)]
     found = {r.doc_id for r in truncated(spark.createDataFrame(rows, "doc_id long, source string, text string")).where("by_close").collect()}
     assert not found & set(range(100, 120)) and set(range(300, 340)) <= found
+
+
+def test_a_copy_is_compared_with_every_longer_member_of_its_bucket(spark):
+    text = page(random.Random(5), 40)
+    at = text.index("keepers", len(text) - 900) + 3
+    # the longest copy goes on in other words behind the cut, the next one as the page did
+    longest = text[: at - 25] + "\n\n" + "la " * 600
+    assert similarity(text[:at], longest) >= 0.8 and similarity(text[:at], text) >= 0.8 and len(longest) > len(text)
+    rows = [(1, "a", text[:at]), (2, "a", text), (3, "b", longest), (4, "b", longest), (5, "b", text[:at])]
+    found = {r.doc_id for r in truncated(spark.createDataFrame(rows, "doc_id long, source string, text string")).where("by_copy").collect()}
+    assert found == {1, 5}
