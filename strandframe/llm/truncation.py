@@ -29,8 +29,8 @@ BANDS, BAND_ROWS = 14, 5
 _WORDS_HASHED = 1 << 15
 #: A closing shape is unfinished where at most this share of its occurrences in lines of the kind ends a line.
 TERMINALITY = 0.02
-#: Shapes that end fewer lines are unfinished.
-LINE_WITNESSES = 2
+#: A shape counts as seen so many times more, with the share of its last mark in lines of the kind; so rare shapes follow the mark.
+BACK_OFF = 2
 #: A closing line is complete where it stands before the end in this share of the documents that hold it, at least.
 #: So many documents are taken to be cut at any line, so that one witness is not enough for a line that ends one text.
 COMPLETE_SHARE, CUT_PRIOR = 0.3, 2
@@ -188,10 +188,14 @@ def unfinished(documents: DataFrame) -> DataFrame:
     counts = documents.select("text").mapInArrow(_closing_counts, "kind string, shape string, n_end long, n_inside long")
     counts = counts.groupBy("kind", "shape").agg(F.sum("n_end").alias("n_end"), F.sum("n_inside").alias("n_inside"))
     counts = checkpointed(counts)
-    share = counts.select(F.col("kind").alias("k"), F.col("shape").alias("s"), (F.col("n_end") / (F.col("n_end") + F.col("n_inside"))).alias("terminality"), "n_end")
+    mark = F.expr("right(shape, 1)")
+    shapes = counts.select(F.col("kind").alias("k"), F.col("shape").alias("s"), "n_end", "n_inside")
+    marks = counts.groupBy(F.col("kind").alias("mk"), mark.alias("ms")).agg((F.sum("n_end") / F.sum(F.col("n_end") + F.col("n_inside"))).alias("of_mark"))
     closings = documents.select("doc_id", "text").mapInArrow(_closings, "doc_id long, kind string, shape string, sign boolean, open boolean, line string")
-    scored = closings.join(broadcast_if_small(share, ["k", "s"]), (F.col("kind") == F.col("k")) & (F.col("shape") == F.col("s")), "left")
-    weak = (F.coalesce("terminality", F.lit(0.0)) <= TERMINALITY) | (F.coalesce("n_end", F.lit(0)) < LINE_WITNESSES)
+    scored = closings.join(broadcast_if_small(shapes, ["k", "s"]), (F.col("kind") == F.col("k")) & (F.col("shape") == F.col("s")), "left")
+    scored = scored.join(broadcast_if_small(marks, ["mk", "ms"]), (F.col("kind") == F.col("mk")) & (mark == F.col("ms")), "left")
+    n_end, n_inside, of_mark = (F.coalesce(c, F.lit(0)) for c in ("n_end", "n_inside", "of_mark"))
+    weak = (n_end + BACK_OFF * of_mark) / (n_end + n_inside + BACK_OFF) <= TERMINALITY
     suspects = scored.where("line <> ''").where(F.col("open") | F.col("sign") | (weak & F.col("kind").isin(*_WORDED)))
     suspects = checkpointed(suspects.select("doc_id", "open", F.xxhash64("line").alias("h")))
     # what closes by its word or sign alone may be a line that stands complete before the end of other documents

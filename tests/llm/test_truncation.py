@@ -116,3 +116,14 @@ def test_a_copy_is_compared_with_every_longer_member_of_its_bucket(spark):
     rows = [(1, "a", text[:at]), (2, "a", text), (3, "b", longest), (4, "b", longest), (5, "b", text[:at])]
     found = {r.doc_id for r in truncated(spark.createDataFrame(rows, "doc_id long, source string, text string")).where("by_copy").collect()}
     assert found == {1, 5}
+
+
+def test_a_rare_closing_shape_is_judged_alike_in_corpora_of_any_size(spark):
+    # two dots end one other line in the small corpus and four in the large; a comma ends none
+    def found(n):
+        rng = random.Random(6)
+        rows = [(i, "a", page(rng) + "\n\n" + ("The tower fell.." if i % 60 == 7 else "All is said.") + "\n\nThe end.") for i in range(n)]
+        rows += [(900, "a", page(rng) + "\n\nThe bridge was sold.."), (901, "a", page(rng) + "\n\nThe bridge was sold_,")]
+        return {r.doc_id for r in truncated(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()} & {900, 901}
+
+    assert found(60) == found(240) == {901}
