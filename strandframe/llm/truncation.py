@@ -44,6 +44,8 @@ _CLOSED = re.compile(r"[.!?…][\"'»”)\]]*(?:</[a-z]+>)?\Z")
 _REDIRECT = re.compile(r"#(?:redirect|redirection|weiterleitung|redirección|redirec)", re.I)
 _HEADING = re.compile(r"(=+)[^=\n].*?[^=\n]?\1\s*\Z")
 _TAG_OPEN = re.compile(r"<(ref|blockquote|div|span|small|sub|sup|code|nowiki|gallery|table)\b[^<>]*(?<!/)>", re.I)
+#: Elements that may span paragraphs; an empty one is none.
+_SPAN = re.compile(r"<(/?)(ref|blockquote|div|gallery)\b[^<>]*(?<!/)>", re.I)
 _WORDS_AT_ONCE = 400_000
 _KINDS = ("prose", "list", "heading", "link", "template", "cell", "redirect")
 #: Kinds of which the closing word tells something; the others are judged by their markup.
@@ -62,8 +64,8 @@ def _balance_open(text: str, opening: str, closing: str) -> bool:
 def open_markup(text: str) -> bool:
     """Whether a text ends inside a markup element.
 
-    What was left open in an earlier paragraph is the author's slip: links and templates are looked at from the last
-    blank line on, tables, comments and footnotes from the last that begins.
+    Tables, comments, footnotes, quotes, galleries and blocks may span paragraphs and are looked at in the whole text. A
+    link or template left open in an earlier paragraph is the author's slip, unless the text ends in the template's parameters.
     """
     tail = text[text.rfind("\n\n") + 1 :]
     if "[[" in tail and _balance_open(tail, "[[", "]]") or "{{" in tail and _balance_open(tail, "{{", "}}"):
@@ -75,11 +77,19 @@ def open_markup(text: str) -> bool:
         return True
     if text.rfind("<!--") > text.rfind("-->"):
         return True
+    spans = Counter()
+    for m in _SPAN.finditer(text) if "<" in text else ():
+        name = m[2].lower()
+        spans[name] = max(0, spans[name] - 1) if m[1] else spans[name] + 1
+    if any(spans.values()):
+        return True
     opened = list(_TAG_OPEN.finditer(tail)) if "<" in tail else []
     if opened and f"</{opened[-1][1].lower()}" not in tail[opened[-1].end() :].lower():
         return True
     # an emphasis left open in the last line
     last = tail[tail.rfind("\n") + 1 :]
+    if last.startswith("|") and not last.startswith("|}") and "{{" in text and _balance_open(text, "{{", "}}"):
+        return True
     return last.count("'''") % 2 == 1
 
 

@@ -127,3 +127,13 @@ def test_a_rare_closing_shape_is_judged_alike_in_corpora_of_any_size(spark):
         return {r.doc_id for r in truncated(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()} & {900, 901}
 
     assert found(60) == found(240) == {901}
+
+
+@pytest.mark.parametrize("text", ["x<ref>One.\n\nTwo.", "<blockquote>One.\n\nTwo.", "<div>\n\n<div>a</div>\n\nTwo.", "<gallery>\nA.jpg\n\nB.jpg", "{{Box\n| a = 1\n\n| b = 2"])
+def test_elements_that_span_paragraphs_are_open(text):
+    assert open_markup(text)
+
+
+@pytest.mark.parametrize("text", ["{{Box\n| a = 1\n\nThe page goes on.", "{{slip\n\n{|\n| a\n|}", "x<ref name=a/>.\n\nTwo.", "<div>One.\n\nTwo.</div>\n\nEnd."])
+def test_slips_and_closed_elements_are_not_open(text):
+    assert not open_markup(text)
