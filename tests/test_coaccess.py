@@ -167,3 +167,11 @@ def test_confusion_top_k_and_fingerprints(spark):
     whole, part, rest = (validate.line_fingerprint(x) for x in (lines, lines.where("value = 'a'"), lines.where("value = 'b'")))
     assert whole[0] == 3 and validate.composes(whole, part, rest) and not validate.composes(whole, part, part)
     assert validate.same_rows(lines, lines.orderBy("value")) and not validate.same_rows(lines, lines.distinct())
+
+
+def test_elbow_beyond_many_near_ties():
+    # 104 values close to the line of the mean slope are within three counts of the fewest, which is the last of them
+    v = np.r_[np.linspace(0, 104 / 157, 104), np.linspace(104 / 157, 1, 53)]
+    assert coaccess.elbow_cutoff(v) == literal_elbow(v.tolist()) > v[64]
+    flat = np.r_[np.zeros(5000), np.full(5000, 0.2), 1.0]
+    assert coaccess.elbow_cutoff(flat) == literal_elbow(flat.tolist())
