@@ -92,6 +92,45 @@ all_ok as (select rec_id, shaped and {" and ".join(f"c_{n} <> ''" for n in ("ct"
   and {" and ".join(f"len([x for x in list_zip(string_split(c_{p}, ','), string_split(c_{q}, ',')) if try_cast(x[1] as bigint) >= 0 and not coalesce(try_cast(x[2] as bigint) between 0 and 255, false)]) = 0" for p, q in (("ref_m6a", "m6a_qual"), ("ref_5mC", "5mC_qual")))} ok from lens)
 """
 
+
+def _bed_reason() -> str:
+    """The first rule that a block BED line breaks, in the order of the strict parser."""
+    bad = lambda x: f"not regexp_full_match({x}, '-?[0-9]+')"
+    big = lambda x: f"try_cast({x} as bigint) is null"
+    steps = [("len(c) not in (10, 11, 12)", "column_count")]
+    for x, name in (("c[2]", "start"), ("c[3]", "end"), ("c[7]", "thick_start"), ("c[8]", "thick_end")):
+        steps += [(bad(x), f"not_an_integer:{name}"), (big(x), f"integer_out_of_range:{name}")]
+    steps += [("c[2]::bigint > c[3]::bigint", "start_after_end"), ("c[7]::bigint > c[8]::bigint", "thick_start_after_end"), ("c[6] not in ('+', '-', '.')", "strand")]
+    for x, v, name in (("c[len(c) - 1]", "sz", "sizes"), ("c[len(c)]", "st", "starts")):
+        steps += [(f"not regexp_full_match({x}, '-?[0-9]+(,-?[0-9]+)*,?')", f"not_an_integer:{name}"), (f"len({v}) <> len([y for y in {v} if y is not null])", f"integer_out_of_range:{name}")]
+    steps += [("len(sz) <> len(st)", "list_lengths_differ:sizes,starts"), ("list_min(sz) < 0 or list_min(st) < 0", "negative_entry"), ("list_max(st) > c[3]::bigint - c[2]::bigint", "start_beyond_record")]
+    steps += [(f"len(c) = 12 and {bad('c[10]')}", "not_an_integer:block_count"), ("len(c) = 12 and try_cast(c[10] as bigint) is distinct from len(sz)", "block_count")]
+    return " ".join(f"when {test} then '{why}'" for test, why in steps)
+
+
+def _all_reason() -> str:
+    steps = [("not hc_known", "no_header"), ("not counted", "column_count")]
+    steps += [(f"coalesce(c_{n}, '') = ''", f"empty:{n}") for n in ("ct", "st", "en", "fiber", "strand")]
+    steps += [(f"not regexp_full_match(c_{n}, '-?[0-9]+')", f"not_an_integer:{n}") for n in ("st", "en")]
+    steps += [(f"not regexp_full_match(c_{n}, '{_ENTRY}(,{_ENTRY})*')", f"not_an_integer:{n}") for n in _ALL_LISTS]
+    steps += [(f"not regexp_full_match(c_fire, '{_NUMBER}(,{_NUMBER})*')", "not_a_number:fire")]
+    for names in (("ref_nuc_starts", "ref_nuc_lengths"), ("ref_msp_starts", "ref_msp_lengths", "fire"), ("ref_m6a", "m6a_qual"), ("ref_5mC", "5mC_qual")):
+        steps.append((" or ".join(f"n_{names[0]} <> n_{n}" for n in names[1:]), "list_lengths_differ:" + ",".join(names)))
+    for p, q in (("ref_m6a", "m6a_qual"), ("ref_5mC", "5mC_qual")):
+        steps.append((f"len([x for x in list_zip(string_split(c_{p}, ','), string_split(c_{q}, ',')) if try_cast(x[1] as bigint) >= 0 and not coalesce(try_cast(x[2] as bigint) between 0 and 255, false)]) > 0", f"quality_range:{q}"))
+    return " ".join(f"when {test} then '{why}'" for test, why in steps)
+
+
+_QUOTE_REASON = f"""case when not quotes then case when regexp_matches(regexp_replace(l, '^({_FIELD}\t)*', ''), '^"([^"]|"")*$') then 'unclosed_quote' else 'text_after_quote' end """
+_REASONS = (
+    _LINES
+    + f""", bed_why as (select 'block_bed' fmt, {_QUOTE_REASON} {_bed_reason()} else 'valid' end reason from bed),
+why as (select p.rec_id, p.l, p.quotes, hc is not null hc_known, len(p.c) = len(hc) counted, lens.* exclude (rec_id)
+  from parsed p left join heads using (file_name) join lens on lens.rec_id = p.rec_id where p.fmt = 'all_tsv'),
+all_why as (select 'all_tsv' fmt, {_QUOTE_REASON} {_all_reason()} else 'valid' end reason from why)
+select fmt, reason, count(*) n from (select * from bed_why union all select * from all_why) group by 1, 2"""
+)
+
 _P4 = """
 with spans as (
   select sample, chrom, fiber_int_id, starts s, ends e from nucleosomes union all
@@ -174,6 +213,7 @@ units as (
 
 ORACLES = {
     "p1_found": _LINES + "select rec_id from (select rec_id, ok from bed_ok union all select rec_id, ok from all_ok) where not coalesce(ok, false)",
+    "p1_reasons": _REASONS,
     "p1_loaded_blocks": _LINES
     + """select rec_id, c[1] chrom, c[2]::bigint as start, c[3]::bigint as "end", c[4] "name", c[6] strand, len(sz) n_blocks, list_sum(sz)::bigint block_bp from bed_ok where ok""",
     "p2_found": _UNITS + "select distinct src_table, row_id, field, unit from units where unit <> own",

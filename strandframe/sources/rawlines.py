@@ -1,9 +1,9 @@
 """Loading of raw block BED and "all" TSV lines, with the broken ones set apart.
 
-Lines of a block that should have one layout are parsed at once with vectorised Arrow kernels. The
-bulk parser accepts a block only if every line is beyond doubt valid. A block that fails is cut in
-half again and again; what is left when few lines remain is read by a strict parser, which knows
-quoting and every rule, and either loads the line or names the reason.
+The lines of a batch that have one layout are a block, which vectorised Arrow kernels parse at once. A
+block that fails is cut in half again and again, until what passes is loaded from the parsed columns
+and single lines are left. Those are read by a strict parser, which knows quoting and every rule,
+and either loads the line or names the reason.
 """
 
 from __future__ import annotations
@@ -19,9 +19,6 @@ from pyspark.sql import functions as F
 
 from strandframe.session import broadcast_if_small
 
-#: Blocks of so few lines go to the strict parser at once.
-STRICT_LINES = 64
-
 # Fixed values of the two formats.
 MISSING = ("", ".", "NA", "NaN", "nan")
 STRANDS = ("+", "-", ".")
@@ -55,10 +52,6 @@ _SURE_LIST = r"^(-?[0-9]{1,18}|\.|NA|NaN|nan)?(,(-?[0-9]{1,18}|\.|NA|NaN|nan)?)*
 _SURE_NUMBERS = r"^([-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]{1,2})?|\.|NA|NaN|nan)?(,([-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]{1,2})?|\.|NA|NaN|nan)?)*$"
 
 
-class _Doubt(Exception):
-    """The bulk parser can't vouch for each line of its block."""
-
-
 class _Broken(Exception):
     """A line breaks a rule; the message is the reason."""
 
@@ -178,139 +171,215 @@ def strict_all(line: str, header: list[str] | None) -> dict:
     return row | {c.lower().replace("5mc", "m5c"): v for c, v in lists.items()}
 
 
-def _all(mask: pa.Array) -> None:
-    if not pc.all(mask, min_count=0).as_py():
-        raise _Doubt
-
-
-def _ints(c: pa.Array) -> pa.Array:
-    _all(pc.match_substring_regex(c, _SURE_INT))
-    return c.cast(pa.int64())
-
+def _mask(a: pa.Array) -> np.ndarray:
+    return pc.fill_null(a, False).to_numpy(zero_copy_only=False)
 
-def _cells(lines: pa.Array, n: int) -> list[pa.Array]:
-    flat = pc.list_flatten(pc.split_pattern(lines, "\t"))
-    if len(flat) != n * len(lines):
-        raise _Doubt
-    return [flat.take(pa.array(np.arange(i, len(flat), n))) for i in range(n)]
 
+def _matches(c: pa.Array, pattern: str) -> np.ndarray:
+    return _mask(pc.match_substring_regex(c, pattern))
 
-def _lists(c: pa.Array, to: pa.DataType) -> pa.ListArray:
-    split = pc.split_pattern(pc.replace_substring_regex(c, ",$", ""), ",")
-    flat = pc.list_flatten(split)
-    if to is not None:
-        flat = pc.if_else(pc.is_in(flat, pa.array(MISSING)), pa.scalar(None, pa.string()), flat)
-    return pa.ListArray.from_arrays(split.offsets, flat.cast(to or pa.int64()))
 
+class _Block:
+    """Columns of lines of one layout, and which of the lines are beyond doubt valid.
 
-def _same_lengths(*lists: pa.ListArray) -> None:
-    first = pc.list_value_length(lists[0])
-    for other in lists[1:]:
-        _all(pc.equal(first, pc.list_value_length(other)))
-
+    A cell that a kernel can't vouch for is null (an empty list), so that the others can be parsed at once.
+    """
 
-def bulk_block_bed(lines: pa.Array, n: int) -> dict[str, pa.Array]:
-    c = _cells(lines, n)
-    start, end, thick_start, thick_end = (_ints(c[i]) for i in (1, 2, 6, 7))
-    _all(pc.less_equal(start, end))
-    _all(pc.less_equal(thick_start, thick_end))
-    _all(pc.is_in(c[5], pa.array(STRANDS)))
-    for cell in c[-2:]:
-        _all(pc.match_substring_regex(cell, _SURE_COUNTS))
-    sizes, starts = (_lists(cell, None) for cell in c[-2:])
-    _same_lengths(sizes, starts)
+    def __init__(self, lines: pa.Array, names: list[str]) -> None:
+        n = len(names)
+        flat = pc.list_flatten(pc.split_pattern(lines, "\t"))
+        if len(flat) != n * len(lines):
+            raise pa.ArrowInvalid("lines of another number of fields")
+        self.sure = np.ones(len(lines), dtype=bool)
+        self.cell = {name: flat.take(pa.array(np.arange(i, len(flat), n))) for i, name in enumerate(names)}
+        self.out: dict[str, pa.Array] = {}
+
+    def vouch(self, ok: np.ndarray) -> None:
+        self.sure &= ok
+
+    def _where(self, ok: np.ndarray, c: pa.Array) -> pa.Array:
+        return pc.if_else(pa.array(ok), c, pa.scalar(None, pa.string()))
+
+    def whole(self, name: str) -> pa.Array:
+        ok = _matches(self.cell[name], _SURE_INT)
+        self.vouch(ok)
+        return self._where(ok, self.cell[name]).cast(pa.int64())
+
+    def list_of(self, name: str, pattern: str, to: pa.DataType, missing: bool = True) -> pa.ListArray:
+        ok = _matches(self.cell[name], pattern)
+        self.vouch(ok)
+        split = pc.split_pattern(pc.replace_substring_regex(self._where(ok, self.cell[name]).fill_null("0"), ",$", ""), ",")
+        flat = pc.list_flatten(split)
+        if missing:
+            flat = pc.if_else(pc.is_in(flat, pa.array(MISSING)), pa.scalar(None, pa.string()), flat)
+        return pa.ListArray.from_arrays(split.offsets, flat.cast(to))
+
+    def same_lengths(self, lists: list[pa.ListArray]) -> None:
+        first = pc.list_value_length(lists[0])
+        for other in lists[1:]:
+            self.vouch(_mask(pc.equal(first, pc.list_value_length(other))))
+
+    def deny_lines_of(self, entries: np.ndarray, of: pa.ListArray) -> None:
+        """Lines that hold one of the marked list entries are in doubt."""
+        self.sure[pc.list_parent_indices(of).to_numpy()[entries]] = False
+
+
+BED_COLUMNS = ("chrom", "start", "end", "name", "score", "strand", "thick_start", "thick_end", "rgb", "block_count", "sizes", "starts")
+
+
+def bed_names(n: int) -> list[str]:
+    """Names of the fields of a block BED line of 10, 11 or 12 fields."""
+    return [*BED_COLUMNS[:8], *{10: (), 11: ("rgb",), 12: ("rgb", "block_count")}[n], "sizes", "starts"]
+
+
+def bulk_block_bed(lines: pa.Array, n: int) -> _Block:
+    b = _Block(lines, bed_names(n))
+    start, end, thick_start, thick_end = (b.whole(c) for c in ("start", "end", "thick_start", "thick_end"))
+    b.vouch(_mask(pc.less_equal(start, end)))
+    b.vouch(_mask(pc.less_equal(thick_start, thick_end)))
+    b.vouch(_mask(pc.is_in(b.cell["strand"], pa.array(STRANDS))))
+    sizes, starts = (b.list_of(c, _SURE_COUNTS, pa.int64(), missing=False) for c in ("sizes", "starts"))
+    b.same_lengths([sizes, starts])
     span = pc.subtract(end, start).take(pc.list_parent_indices(starts))
-    _all(pc.less_equal(pc.list_flatten(starts), span))
+    b.deny_lines_of(~_mask(pc.less_equal(pc.list_flatten(starts), span)), starts)
     if n == 12:
-        _all(pc.equal(_ints(c[9]), pc.list_value_length(sizes).cast(pa.int64())))
-    out = {"chrom": c[0], "start": start, "end": end, "name": c[3], "strand": c[5], "score": c[4], "thick_start": thick_start, "thick_end": thick_end}
-    return out | {"sizes": sizes, "starts": starts} | ({"rgb": c[8]} if n > 10 else {})
+        b.vouch(_mask(pc.equal(b.whole("block_count"), pc.list_value_length(sizes).cast(pa.int64()))))
+    b.out = {c: b.cell[c] for c in ("chrom", "name", "strand", "score", "rgb") if c in b.cell}
+    b.out |= {"start": start, "end": end, "thick_start": thick_start, "thick_end": thick_end, "sizes": sizes, "starts": starts}
+    return b
 
 
-def bulk_all(lines: pa.Array, header: list[str]) -> dict[str, pa.Array]:
-    cell = dict(zip(header, _cells(lines, len(header)), strict=True))
+def bulk_all(lines: pa.Array, header: list[str]) -> _Block:
+    b = _Block(lines, header)
     for c in NOT_EMPTY:
-        if c not in cell:
-            raise _Doubt
-        _all(pc.not_equal(cell[c], ""))
-    out = {"chrom": cell["ct"], "start": _ints(cell["st"]), "end": _ints(cell["en"]), "name": cell["fiber"], "strand": cell["strand"]}
-    out |= {c.lower(): cell[c] for c in TEXT_COLUMNS if c in cell}
-    lists = {}
-    for c in LIST_COLUMNS:
-        if c in cell:
-            _all(pc.match_substring_regex(cell[c], _SURE_LIST))
-            lists[c] = _lists(cell[c], pa.int64())
-    if "fire" in cell:
-        _all(pc.match_substring_regex(cell["fire"], _SURE_NUMBERS))
-        lists["fire"] = _lists(cell["fire"], pa.float64())
+        b.vouch(_mask(pc.not_equal(b.cell[c], "")) if c in b.cell else np.zeros(len(lines), dtype=bool))
+    if not b.sure.any():
+        return b
+    b.out = {"chrom": b.cell["ct"], "start": b.whole("st"), "end": b.whole("en"), "name": b.cell["fiber"], "strand": b.cell["strand"]}
+    b.out |= {c.lower(): b.cell[c] for c in TEXT_COLUMNS if c in b.cell}
+    lists = {c: b.list_of(c, _SURE_LIST, pa.int64()) for c in LIST_COLUMNS if c in b.cell}
+    if "fire" in b.cell:
+        lists["fire"] = b.list_of("fire", _SURE_NUMBERS, pa.float64())
     for group in EQUAL_LENGTHS:
         if there := [lists[c] for c in group if c in lists]:
-            _same_lengths(*there)
+            b.same_lengths(there)
     for position, quality in POSITION_QUALITY:
         if position in lists and quality in lists:
-            p, q = pc.list_flatten(lists[position]), pc.list_flatten(lists[quality])
-            mapped = pc.fill_null(pc.greater_equal(p, 0), False)
-            right = pc.fill_null(pc.and_(pc.greater_equal(q, 0), pc.less_equal(q, 255)), False)
-            _all(pc.or_(pc.invert(mapped), right))
-    return out | {c.lower().replace("5mc", "m5c"): v for c, v in lists.items()}
+            # lists of other lengths are left out here, so that the entries of both stand side by side
+            of = np.flatnonzero(_mask(pc.equal(pc.list_value_length(lists[position]), pc.list_value_length(lists[quality]))))
+            at, values = lists[position].take(pa.array(of)), lists[quality].take(pa.array(of))
+            p, q = pc.list_flatten(at), pc.list_flatten(values)
+            right = _mask(pc.and_(pc.greater_equal(q, 0), pc.less_equal(q, 255)))
+            wrong = _mask(pc.greater_equal(p, 0)) & ~right
+            b.sure[of[pc.list_parent_indices(at).to_numpy()[wrong]]] = False
+    b.out |= {c.lower().replace("5mc", "m5c"): v for c, v in lists.items()}
+    return b
+
+
+def clean_stretches(sure: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
+    """Stretches of a block that passed whole, and the single lines in doubt, found by halving what failed.
+
+    The verdicts on a block's lines are summed once, so whether a half passes is a subtraction and not a second parse.
+    """
+    failed = np.r_[0, np.cumsum(~sure)]
+    passed: list[tuple[int, int]] = []
+    alone: list[int] = []
+    stack = [(0, len(sure))] if len(sure) else []
+    while stack:
+        low, high = stack.pop()
+        n = failed[high] - failed[low]
+        if n == 0:
+            if passed and passed[-1][1] == low:
+                passed[-1] = (passed[-1][0], high)
+            else:
+                passed.append((low, high))
+        elif high - low == 1:
+            alone.append(low)
+        else:
+            middle = (low + high) // 2
+            stack += [(middle, high), (low, middle)]
+    return passed, alone
+
+
+def _unquoted(raw: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lines whose quoted fields hold no tab and no quote, without those quotes; and which lines have other quotes."""
+    quoted = _matches(raw, r'(^|\t)"')
+    if not quoted.any():
+        return raw, quoted
+    plain = _matches(raw, r'^("[^"\t]*"|[^"\t][^\t]*|)(\t("[^"\t]*"|[^"\t][^\t]*|))*$')
+    freed = pc.replace_substring_regex(raw, r'(^|\t)"([^"\t]*)"', r"\1\2")
+    return pc.if_else(pa.array(quoted & plain), freed, raw), quoted & ~plain
+
+
+def _columns(cols: dict[str, pa.Array], n: int) -> pa.Table:
+    return pa.table([cols[f.name].cast(f.type) if f.name in cols else pa.nulls(n, f.type) for f in _OUT], schema=_OUT)
+
+
+def _layouts(batch: pa.RecordBatch, lines: pa.Array, quoted: np.ndarray) -> Iterator[tuple[str | None, str, int, bool, np.ndarray]]:
+    """Format, header text, number of fields, odd quotes and row numbers of each layout among the records of a batch."""
+    record = _mask(pc.not_equal(pc.utf8_trim_whitespace(lines), "")) & ~_mask(pc.starts_with(lines, "#"))
+    kind, head = batch.column("fmt").dictionary_encode(), batch.column("header").fill_null("").dictionary_encode()
+    kinds = kind.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    heads = head.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    n_fields = pc.count_substring(lines, "\t").to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    rows = np.flatnonzero(record)
+    keys = np.stack([kinds, heads, np.where(quoted, 0, n_fields), quoted.astype(np.int64)])[:, rows]
+    order = np.lexsort(keys)
+    cuts = np.flatnonzero(np.r_[True, (np.diff(keys[:, order]) != 0).any(axis=0)]) if len(rows) else []
+    for part in np.split(order, cuts[1:]) if len(rows) else []:
+        k, h, n, odd = keys[:, part[0]].tolist()
+        yield None if k < 0 else kind.dictionary[k].as_py(), head.dictionary[h].as_py(), n, bool(odd), np.sort(rows[part])
+
+
+def _bulk(lines: pa.Array, kind: str | None, n_fields: int, header: list[str] | None) -> _Block | None:
+    """The block as the columnar path reads it; null where no layout fits."""
+    try:
+        if kind == "block_bed" and n_fields in (10, 11, 12):
+            return bulk_block_bed(lines, n_fields)
+        if kind == "all_tsv" and header is not None and n_fields == len(header) and len(set(header)) == n_fields:
+            return bulk_all(lines, header)
+    except pa.ArrowInvalid:
+        pass
+    return None
+
+
+def _diagnosed(line: str, kind: str | None, header: list[str] | None) -> dict:
+    try:
+        if kind not in ("block_bed", "all_tsv"):
+            raise _Broken("unknown_format")
+        return {"reason": None} | (strict_block_bed(line) if kind == "block_bed" else strict_all(line, header))
+    except _Broken as why:
+        return {"reason": str(why)}
 
 
 def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     headers: dict[str, list[str] | None] = {}
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids = [batch.column(c) for c in ("rec_id", "fmt", "file_name", "line_no")]
+        ids = {c: batch.column(c) for c in ("rec_id", "fmt", "file_name", "line_no")}
         raw = pc.replace_substring_regex(batch.column("line").fill_null(""), "\r$", "")
-        head = batch.column("header").fill_null("")
-        texts, fmts, heads = raw.to_pylist(), ids[1].to_pylist(), head.to_pylist()
-        tabs = pc.count_substring(raw, "\t").to_pylist()
-        quoted = pc.match_substring_regex(raw, '(^|\t)"').to_pylist()
-        blocks: dict[tuple, list[int]] = {}
-        for i, text in enumerate(texts):
-            if text.strip() and not text.startswith("#"):
-                blocks.setdefault((fmts[i], heads[i] if fmts[i] == "all_tsv" else "", tabs[i], quoted[i]), []).append(i)
+        lines, odd_quotes = _unquoted(raw)
         done: list[pa.Table] = []
+        doubtful: list[np.ndarray] = []
         strict: list[dict] = []
-
-        def diagnose(i: int, kind: str | None, header: list[str] | None) -> None:
-            row = {"rec_id": ids[0][i].as_py(), "fmt": kind, "file_name": ids[2][i].as_py(), "line_no": ids[3][i].as_py(), "reason": None}
-            try:
-                if kind not in ("block_bed", "all_tsv"):
-                    raise _Broken("unknown_format")
-                row |= strict_block_bed(texts[i]) if kind == "block_bed" else strict_all(texts[i], header)
-            except _Broken as why:
-                row["reason"] = str(why)
-            strict.append(row)
-
-        for (kind, head_text, n_tabs, has_quote), at in blocks.items():
-            header = None
-            if head_text:
-                if head_text not in headers:
-                    headers[head_text] = read_header(head_text)
-                header = headers[head_text]
-            bulk = (
-                not has_quote
-                and (kind == "block_bed" and n_tabs + 1 in (10, 11, 12) or kind == "all_tsv" and header is not None and n_tabs + 1 == len(header))
-            )
-            stack = [at]
-            while stack:
-                part = stack.pop()
-                if not bulk or len(part) <= STRICT_LINES:
-                    for i in part:
-                        diagnose(i, kind, header)
-                    continue
-                rows = pa.array(part)
-                try:
-                    lines = raw.take(rows)
-                    cols = bulk_block_bed(lines, n_tabs + 1) if kind == "block_bed" else bulk_all(lines, header)
-                except (_Doubt, pa.ArrowInvalid):
-                    stack += [part[: len(part) // 2], part[len(part) // 2 :]]
-                    continue
-                cols |= {n: x.take(rows) for n, x in zip(("rec_id", "fmt", "file_name", "line_no"), ids, strict=True)}
-                done.append(pa.table([cols[f.name].cast(f.type) if f.name in cols else pa.nulls(len(part), f.type) for f in _OUT], schema=_OUT))
+        for kind, head, n_fields, odd, at in _layouts(batch, lines, odd_quotes):
+            if head and head not in headers:
+                headers[head] = read_header(head)
+            header = headers.get(head) if head else None
+            block = None if odd else _bulk(lines.take(pa.array(at)), kind, n_fields, header)
+            passed, alone = clean_stretches(block.sure if block else np.zeros(len(at), dtype=bool))
+            for low, high in passed:
+                rows = pa.array(at[low:high])
+                cols = {c: v.slice(low, high - low) for c, v in block.out.items()} | {c: v.take(rows) for c, v in ids.items()}
+                done.append(_columns(cols, high - low))
+            if alone:
+                doubtful.append(at[alone])
+                strict += [_diagnosed(line, kind, header) for line in raw.take(pa.array(at[alone])).to_pylist()]
         if strict:
-            done.append(pa.Table.from_pylist(strict, schema=_OUT))
+            cells = pa.Table.from_pylist(strict, schema=_OUT)
+            rows = pa.array(np.concatenate(doubtful))
+            for c, v in ids.items():
+                cells = cells.set_column(_OUT.get_field_index(c), _OUT.field(c), v.take(rows).cast(_OUT.field(c).type))
+            done.append(cells)
         if done:
             yield from pa.concat_tables(done).combine_chunks().to_batches()
 

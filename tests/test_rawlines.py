@@ -1,9 +1,12 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandframe.sources.rawlines import _Broken, load_raw_lines, read_header, split_fields, strict_all, strict_block_bed
+from strandframe.sources import rawlines
+from strandframe.sources.rawlines import _Broken, clean_stretches, load_raw_lines, read_header, split_fields, strict_all, strict_block_bed
 
 SCHEMA = "rec_id long, fmt string, file_name string, line_no long, line string"
 BED12 = "chr1\t100\t1101\tf1\t0\t+\t100\t1101\t0\t4\t1,50,8,1\t0,100,500,1000"
@@ -145,3 +148,28 @@ def test_bulk_equals_strict_on_mutated_all_lines(spark):
         except _Broken as e:
             why = str(e)
         assert got[i].reason == why, line
+
+
+def test_halving_isolates_single_lines():
+    rng = random.Random(3)
+    for n in (0, 1, 2, 7, 64, 1000):
+        for share in (0.0, 0.06, 1.0):
+            sure = np.array([rng.random() >= share for _ in range(n)], dtype=bool)
+            passed, alone = clean_stretches(sure)
+            assert alone == np.flatnonzero(~sure).tolist()
+            assert sorted(i for low, high in passed for i in range(low, high)) == np.flatnonzero(sure).tolist()
+
+
+def test_valid_lines_are_loaded_by_the_columnar_path(monkeypatch):
+    """With 6 % broken lines only those, and lines with tabs or quotes inside quotes, are read by the strict parser."""
+    rng = random.Random(9)
+    bad = [x for lines in BAD_BED.values() for x in lines]
+    lines = [rng.choice(bad) if rng.random() < 0.06 else rng.choice([BED12, BED12.replace("f1", '"f1"'), BED12 + "\r"]) for _ in range(5000)]
+    seen = []
+    diagnosed = rawlines._diagnosed
+    monkeypatch.setattr(rawlines, "_diagnosed", lambda line, *a: seen.append(line) or diagnosed(line, *a))
+    n = len(lines)
+    batch = pa.record_batch([pa.array(range(n), pa.int64()), pa.array(["block_bed"] * n), pa.array(["x"] * n), pa.array(range(n), pa.int64()), pa.array(lines), pa.nulls(n, pa.string())], names=["rec_id", "fmt", "file_name", "line_no", "line", "header"])
+    out = pa.Table.from_batches(list(rawlines._load(iter([batch]))))
+    assert out.num_rows == n and out.column("reason").null_count == sum(x not in bad for x in lines)
+    assert set(seen) <= set(bad)
