@@ -1,17 +1,33 @@
 """References whose parent was not there when they arrived.
 
-The integer key space of a parent is (entity, microsecond). Its live microseconds are compressed
-into contiguous runs; a reference is matched as-of to the run that starts at or before its own
-instant and is an orphan when it lies beyond that run's end. The rows given to the join tile the
-time axis of an entity, so each reference meets one row at most.
+Keys become integers: the digits of an id ("m84/1203/ccs") count within the text around them, a UUID is
+its 128 bits, any other text a 128-bit hash. The parents' sorted integers are compressed into contiguous
+runs, and so is each parent's live time into runs of (integer, microsecond). Runs and references are
+brought into one order by a range exchange, in which every reference is matched as-of to the run that
+starts at or before it: a reference beyond the end of the preceding run of keys is to no parent at all,
+one beyond the end of the preceding run of time came after its parent's death.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandframe.session import checkpointed
+
 _MIN, _MAX = -(1 << 63), (1 << 63) - 1
+#: Runs of keys are cut where their integers pass a multiple of this power of two, so that no task sorts all keys of a scope.
+RUN_BITS = 16
+_UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+#: Text, digits and text of an id; the digits are the last ones, as many as fit 63 bits, without a leading zero.
+_DIGITS = r"^(|.*[^0-9])([1-9][0-9]{0,17}|0)([^0-9]*)$"
+_KEY_RUN, _LIVE_RUN, _REFERENCE = 0, 1, 2
+_ORDER = ["_scope", "_hi", "_lo", "_t", "_rank"]
 
 
 def reference_key(c: str | Column) -> Column:
@@ -20,24 +36,45 @@ def reference_key(c: str | Column) -> Column:
     return F.when((t != "") & (t != "."), t)
 
 
+def integer_key(keys: list[str]) -> list[Column]:
+    """Scope and the two halves of the integer that the last of ``keys`` stands for within the others."""
+    *within, name = keys
+    text = F.col(name).cast("string")
+    uuid, digits = text.rlike(_UUID), text.rlike(_DIGITS)
+    hexed = F.replace(text, F.lit("-"), F.lit(""))
+    form = F.when(uuid, "uuid").when(digits, F.concat(F.regexp_extract(text, _DIGITS, 1), F.lit("#"), F.regexp_extract(text, _DIGITS, 3))).otherwise("text")
+    half = lambda at: F.conv(F.substring(hexed, at, 16), 16, -10).cast("long")
+    scope = F.xxhash64(*[F.col(k) for k in within], form, F.when(uuid, 0).when(digits, 1).otherwise(2))
+    hi = F.when(uuid, half(1)).when(digits, F.lit(0).cast("long")).otherwise(F.xxhash64(F.lit("hi"), text))
+    lo = F.when(uuid, half(17)).when(digits, F.regexp_extract(text, _DIGITS, 2).cast("long")).otherwise(F.xxhash64(F.lit("lo"), text))
+    return [scope.alias("_scope"), hi.alias("_hi"), lo.alias("_lo")]
+
+
 def _micros(c: str) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
+def _complete(keys: list[str]) -> Column:
+    ok = F.col(keys[0]).isNotNull()
+    for k in keys[1:]:
+        ok = ok & F.col(k).isNotNull()
+    return ok
+
+
 def live_runs(parents: DataFrame, keys: list[str], born: str, died: str) -> DataFrame:
     """Contiguous runs of live time per key: keys, ``run_from``, ``run_until`` (half-open microseconds).
 
     A row without ``died`` lives on. A row without ``born`` was never live; it gives an empty run at the
-    start of time, which still says that the key exists. Repeated, nested and touching rows make one run.
+    start of time. Repeated, nested and touching rows make one run.
     """
     w = Window.partitionBy(*keys).orderBy("run_from", "run_until")
     rows = (
-        parents.select(
+        parents.where(_complete(keys))
+        .select(
             *keys,
             F.coalesce(_micros(born), F.lit(_MIN)).alias("run_from"),
             F.when(F.col(born).isNull(), F.lit(_MIN)).otherwise(F.coalesce(_micros(died), F.lit(_MAX))).alias("run_until"),
         )
-        .where(" and ".join(f"{k} is not null" for k in keys))
         .distinct()
         .withColumn("reach", F.max("run_until").over(w.rowsBetween(Window.unboundedPreceding, -1)))
         .withColumn("run", F.sum(F.when(F.col("reach").isNull() | (F.col("run_from") > F.col("reach")), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -45,31 +82,91 @@ def live_runs(parents: DataFrame, keys: list[str], born: str, died: str) -> Data
     return rows.groupBy(*keys, "run").agg(F.min("run_from").alias("run_from"), F.max("run_until").alias("run_until")).drop("run")
 
 
-def orphan_references(refs: DataFrame, parents: DataFrame, keys: list[str], at: str, born: str, died: str) -> DataFrame:
+def key_runs(coded: DataFrame) -> DataFrame:
+    """Contiguous runs of the integers of ``coded`` (_scope, _hi, _lo): ``_lo`` to ``_last``, both inclusive."""
+    part = F.shiftright("_lo", RUN_BITS)
+    w = Window.partitionBy("_scope", "_hi", "_part").orderBy("_lo")
+    distinct = coded.select("_scope", "_hi", "_lo").distinct().withColumn("_part", part)
+    runs = distinct.withColumn("_run", F.col("_lo") - F.row_number().over(w)).groupBy("_scope", "_hi", "_part", "_run")
+    return runs.agg(F.min("_lo").alias("_first"), F.max("_lo").alias("_last")).select("_scope", "_hi", F.col("_first").alias("_lo"), "_last")
+
+
+def _last_runs(ordered: DataFrame) -> list[dict[int, tuple]]:
+    """For each partition the last run of each rank that starts before it; one row a partition and rank comes to the driver."""
+    run = F.struct("_scope", "_hi", "_lo", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("_last", "_until")])
+    tails = ordered.where(F.col("_rank") != _REFERENCE).groupBy(F.spark_partition_id().alias("p"), "_rank").agg(F.max_by(run, F.struct(*_ORDER)).alias("r"))
+    by_part: dict[int, dict[int, tuple]] = {}
+    for row in tails.collect():
+        by_part.setdefault(row["p"], {})[row["_rank"]] = tuple(row["r"])
+    seeds: list[dict[int, tuple]] = []
+    so_far: dict[int, tuple] = {}
+    for p in range(max(by_part, default=-1) + 2):
+        seeds.append(dict(so_far))
+        so_far |= by_part.get(p, {})
+    return seeds
+
+
+def _as_of(seeds: list[dict[int, tuple]], carried: list[str]):
+    """Kinds of the references of one ordered partition."""
+    names = ["_scope", "_hi", "_lo", "_last", "_until"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = dict(seeds[min(TaskContext.get().partitionId(), len(seeds) - 1)])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # the runs that reach into the batch stand in front of it
+            ahead = [before.get(rank) for rank in (_KEY_RUN, _LIVE_RUN)]
+            rank = np.r_[[_KEY_RUN, _LIVE_RUN], batch.column("_rank").to_numpy()]
+            known = np.r_[[a is not None for a in ahead], np.ones(batch.num_rows, bool)]
+            v = {n: np.r_[np.array([a[i] if a else 0 for a in ahead], np.int64), batch.column(n).fill_null(0).to_numpy()] for i, n in enumerate(names)}
+            t = np.r_[np.zeros(2, np.int64), batch.column("_t").to_numpy()]
+            place = np.arange(len(rank))
+            preceding = {r: np.maximum.accumulate(np.where((rank == r) & known, place, -1)) for r in (_KEY_RUN, _LIVE_RUN)}
+            ref = np.flatnonzero(rank == _REFERENCE)
+            keys, lives = preceding[_KEY_RUN][ref], preceding[_LIVE_RUN][ref]
+            same = lambda at: (at >= 0) & (v["_scope"][at] == v["_scope"][ref]) & (v["_hi"][at] == v["_hi"][ref])
+            exists = same(keys) & (v["_lo"][ref] <= v["_last"][keys])
+            begun = same(lives) & (v["_lo"][lives] == v["_lo"][ref])
+            live = begun & (t[ref] < v["_until"][lives])
+            timed = t[ref] < _MAX
+            kind = np.where(~exists, "missing", np.where(begun, "deleted", "late"))
+            keep = ~exists | (timed & ~live)
+            rows = pa.array(ref[keep] - 2)
+            out = [batch.column(c).take(rows) for c in carried]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(kind[keep].tolist(), pa.string())], names=[*carried, "kind"])
+            for r in (_KEY_RUN, _LIVE_RUN):
+                if (at := int(preceding[r][-1])) >= 0:
+                    before[r] = tuple(int(v[n][at]) for n in names)
+
+    return run
+
+
+def orphan_references(refs: DataFrame, parents: DataFrame, keys: list[str], at: str, born: str, died: str, carry: list[str] | None = None) -> DataFrame:
     """Rows of ``refs`` without a live parent at the instant ``at``, with ``kind``.
 
-    ``refs`` and ``parents`` both carry ``keys``; a row of ``refs`` with a null key is no reference and is
-    left out, as is one without ``at`` whose parent exists. ``kind`` is 'missing' (no parent row at all),
-    'late' (all parent rows were born after ``at``) or 'deleted'. Rows that are repeated in ``refs`` are
-    reported each. Every column of ``refs`` is kept; columns of ``parents`` never come through.
+    ``refs`` and ``parents`` both carry ``keys``, of which the last is the id within the others; a row of ``refs`` with a
+    null key is no reference and is left out, as is one without ``at`` whose parent exists. ``kind`` is 'missing' (no
+    parent row at all), 'late' (all parent rows were born after ``at``) or 'deleted'. Rows that are repeated in ``refs``
+    are reported each. Every column of ``refs`` is kept, or those named in ``carry``; columns of ``parents`` never come
+    through. An empty table of parents makes every reference missing. Keys other than integers and UUIDs are compared
+    by 128 bits of hash, the keys and text around an integer by 64.
     """
-    runs = live_runs(parents, keys, born, died)
-    w = Window.partitionBy(*keys).orderBy("run_from")
-    tiles = runs.withColumn("next_from", F.lead("run_from", 1, _MAX).over(w)).withColumn("first", F.row_number().over(w) == 1)
-    # before its first run an entity is still to come: a tile without an end
-    spans = F.array(
-        F.struct(F.col("run_from").alias("tile_from"), F.col("next_from").alias("tile_to"), F.col("run_until").alias("tile_end")),
-        F.struct(F.lit(_MIN).alias("tile_from"), F.col("run_from").alias("tile_to"), F.lit(None).cast("long").alias("tile_end")),
-    )
-    tiles = tiles.select(*[F.col(k).alias(f"_p_{k}") for k in keys], F.inline(F.when(F.col("first"), spans).otherwise(F.slice(spans, 1, 1))))
-    t = F.coalesce(_micros(at), F.lit(_MAX - 1))
-    refs = refs.where(" and ".join(f"{k} is not null" for k in keys)).withColumn("_at", t)
-    on = [refs[k] == tiles[f"_p_{k}"] for k in keys] + [refs["_at"] >= tiles["tile_from"], refs["_at"] < tiles["tile_to"]]
-    kind = (
-        F.when(F.col(f"_p_{keys[0]}").isNull(), "missing")
-        .when(F.col("tile_end").isNull(), "late")
-        .when(F.col("_at") >= F.col("tile_end"), "deleted")
-    )
-    out = refs.join(tiles, on, "left").withColumn("kind", kind).where("kind is not null")
-    out = out.where((F.col("kind") == "missing") | F.col(at).isNotNull())
-    return out.drop("_at", "tile_from", "tile_to", "tile_end", *[f"_p_{k}" for k in keys])
+    carry = list(carry or refs.columns)
+    inner = [f"_c{i}" for i in range(len(carry))]
+    types = dict(refs.dtypes)
+    code = ["_scope", "_hi", "_lo"]
+    coded = parents.where(_complete(keys)).select(*integer_key(keys), F.col(born).alias("_born"), F.col(died).alias("_died"))
+    nothing = F.lit(None).cast("long")
+    none = [F.lit(None).cast(types[c]).alias(n) for c, n in zip(carry, inner, strict=True)]
+    known = key_runs(coded).select(*code, F.lit(_MIN).alias("_t"), F.lit(_KEY_RUN).alias("_rank"), "_last", nothing.alias("_until"), nothing.alias("_tie"), *none)
+    lives = live_runs(coded, code, "_born", "_died")
+    lives = lives.select(*code, F.col("run_from").alias("_t"), F.lit(_LIVE_RUN).alias("_rank"), nothing.alias("_last"), F.col("run_until").alias("_until"), nothing.alias("_tie"), *none)
+    columns = [F.col(c).alias(n) for c, n in zip(carry, inner, strict=True)]
+    asked = refs.where(_complete(keys)).select(*integer_key(keys), F.coalesce(_micros(at), F.lit(_MAX)).alias("_t"), F.lit(_REFERENCE).alias("_rank"), nothing.alias("_last"), nothing.alias("_until"), *columns)
+    # references that are alike but for what they carry may be many: their hash lets the exchange split them
+    asked = asked.withColumn("_tie", F.xxhash64(*inner)).select(known.columns)
+    ordered = known.unionByName(lives).unionByName(asked).repartitionByRange(*_ORDER, "_tie").sortWithinPartitions(*_ORDER)
+    ordered = checkpointed(ordered.drop("_tie"))
+    schema = ", ".join(f"{n} {types[c]}" for c, n in zip(carry, inner, strict=True)) + ", kind string"
+    return ordered.mapInArrow(_as_of(_last_runs(ordered), inner), schema).toDF(*carry, "kind")

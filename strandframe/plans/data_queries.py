@@ -56,7 +56,7 @@ def references(spark: SparkSession, d: str) -> DataFrame:
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     parents = table(spark, d, "fiber_id_table").select("sample", "chrom", reference_key("fiber_id").alias("ref"), "created_at", "deleted_at")
-    found = orphan_references(references(spark, d), parents, ["sample", "chrom", "ref"], "loaded_at", "created_at", "deleted_at")
+    found = orphan_references(references(spark, d), parents, ["sample", "chrom", "ref"], "loaded_at", "created_at", "deleted_at", carry=["ref_table", "row_id", "loaded_at"])
     return found.withColumn("ref_month", F.date_format("loaded_at", "yyyy-MM"))
 
 

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from strandframe.operators.orphans import live_runs, orphan_references, reference_key
+from strandframe.operators.orphans import integer_key, key_runs, live_runs, orphan_references, reference_key
 
 T0 = datetime(2024, 1, 1)
 PARENT = "sample string, ref string, born timestamp, died timestamp"
@@ -70,3 +70,43 @@ def test_empty_tables(spark):
 def test_keys_are_trimmed_and_blank_ones_are_none(spark):
     df = spark.createDataFrame([(" x ",), ("\tX",), (" ",), (".",), (None,), ("",)], "k string")
     assert [r[0] for r in df.select(reference_key("k")).collect()] == ["x", "X", None, None, None, None]
+
+
+IDS = ["m84_1/120/ccs", "m84_1/121/ccs", "m84_1/0121/ccs", "m84_1/12/ccs", "m84_2/120/ccs", "7", "007", "0", "-7", "x", "X", "a54c490f-f7a1-7639-74a8-3a281930f277", "a54c490f-f7a1-7639-f4a8-3a281930f278", "A54C490F-F7A1-7639-74A8-3A281930F277", "99999999999999999999999", "9" * 18, "a\nb7", "é1", "1é"]
+
+
+def test_different_ids_have_different_integers(spark):
+    df = spark.createDataFrame([(s, i) for s in ("a", "b") for i in IDS], "sample string, ref string")
+    assert df.select(*integer_key(["sample", "ref"])).distinct().count() == 2 * len(IDS)
+
+
+def test_keys_are_compressed_into_runs(spark):
+    df = spark.createDataFrame([("a", f"m/{i}/ccs") for i in [*range(1000, 3000), *range(3005, 3010), 70_000, 70_000]], "sample string, ref string")
+    rows = key_runs(df.select(*integer_key(["sample", "ref"]))).collect()
+    assert {(r._lo, r._last) for r in rows} == {(1000, 2999), (3005, 3009), (70_000, 70_000)}
+
+
+def test_integer_keys_and_hot_references(spark):
+    rng = random.Random(5)
+    parents = [(s, f"m/{i}/ccs", t(i % 40), t(i % 40 + 30) if i % 3 else None) for s in ("a", "b") for i in range(100, 400) if i % 7]
+    refs = [(i, rng.choice(["a", "b"]), f"m/{rng.choice([207, 208, 210, rng.randrange(90, 420)])}/ccs", t(rng.choice([20, rng.randrange(0, 90)]))) for i in range(5000)]
+    assert run(spark, refs, parents) == brute(refs, parents)
+
+
+def test_only_carried_columns_come_through(spark):
+    r = spark.createDataFrame([(1, "a", "x", t(1))], REF)
+    got = orphan_references(r, spark.createDataFrame([], PARENT), ["sample", "ref"], "at", "born", "died", carry=["id"])
+    assert [tuple(x) for x in got.collect()] == [(1, "missing")] and got.columns == ["id", "kind"]
+
+
+def test_runs_reach_over_partitions(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rng = random.Random(8)
+        parents = [("a", f"m/{i}/ccs", t(i % 40), t(i % 40 + 30) if i % 3 else None) for i in range(100, 400)]
+        refs = [(i, "a", f"m/{rng.choice([207, rng.randrange(90, 420)])}/ccs", t(rng.randrange(0, 90))) for i in range(4000)]
+        assert run(spark, refs, parents) == brute(refs, parents)
+        # one run of keys and one of time, and references in all partitions behind them
+        assert run(spark, [(i, "a", "7", t(i % 50 + 2)) for i in range(4000)], [("a", "7", t(1), None)]) == set()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
