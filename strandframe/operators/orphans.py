@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.session import checkpointed
@@ -24,30 +24,34 @@ _MIN, _MAX = -(1 << 63), (1 << 63) - 1
 #: Runs of keys are cut where their integers pass a multiple of this power of two, so that no task sorts all keys of a scope.
 RUN_BITS = 16
 _UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-#: Text, digits and text of an id; the digits are the last ones, as many as fit 63 bits, without a leading zero.
-_DIGITS = r"^(|.*[^0-9])([1-9][0-9]{0,17}|0)([^0-9]*)$"
+#: The last digits of an id, as many as fit 63 bits and without a leading zero, with the text behind them.
+_DIGITS = r"^(?:.*[^0-9])?((?:[1-9][0-9]{0,17}|0)[^0-9]*)$"
 _KEY_RUN, _LIVE_RUN, _REFERENCE = 0, 1, 2
 _ORDER = ["_scope", "_hi", "_lo", "_t", "_rank"]
 
 
 def reference_key(c: str | Column) -> Column:
     """The key without surrounding white space; null where there is no reference (null, blank, '.')."""
-    t = F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"^\s+|\s+$", "")
+    t = F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(" \t\n\r\x0b\f"))
     return F.when((t != "") & (t != "."), t)
 
 
-def integer_key(keys: list[str]) -> list[Column]:
-    """Scope and the two halves of the integer that the last of ``keys`` stands for within the others."""
+def integer_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with _scope, _hi and _lo: the integer that the last of ``keys`` stands for, in two halves, within the others."""
     *within, name = keys
-    text = F.col(name).cast("string")
-    uuid, digits = text.rlike(_UUID), text.rlike(_DIGITS)
-    hexed = F.replace(text, F.lit("-"), F.lit(""))
-    form = F.when(uuid, "uuid").when(digits, F.concat(F.regexp_extract(text, _DIGITS, 1), F.lit("#"), F.regexp_extract(text, _DIGITS, 3))).otherwise("text")
-    half = lambda at: F.conv(F.substring(hexed, at, 16), 16, -10).cast("long")
-    scope = F.xxhash64(*[F.col(k) for k in within], form, F.when(uuid, 0).when(digits, 1).otherwise(2))
+    text = F.col("_text")
+    uuid = (F.length("_text") == 36) & text.rlike(_UUID)
+    # each text is matched once, in its own step
+    df = df.withColumn("_text", F.col(name).cast("string")).withColumn("_uuid", uuid).withColumn("_tail", F.when(~F.col("_uuid"), F.regexp_extract("_text", _DIGITS, 1)).otherwise(""))
+    uuid, digits = F.col("_uuid"), F.col("_tail") != ""
+    number = F.regexp_extract("_tail", "^[0-9]+", 0).try_cast("long")
+    df = df.withColumn("_number", F.when(digits, number)).withColumn("_hex", F.when(uuid, F.translate("_text", "-", "")))
+    half = lambda at: F.conv(F.substring("_hex", at, 16), 16, -10).cast("long")
+    around = F.concat(F.expr("left(_text, length(_text) - length(_tail))"), F.lit("#"), F.expr("substring(_tail, length(cast(_number as string)) + 1)"))
+    scope = F.xxhash64(*[F.col(k) for k in within], F.when(digits, around), F.when(uuid, 0).when(digits, 1).otherwise(2))
     hi = F.when(uuid, half(1)).when(digits, F.lit(0).cast("long")).otherwise(F.xxhash64(F.lit("hi"), text))
-    lo = F.when(uuid, half(17)).when(digits, F.regexp_extract(text, _DIGITS, 2).cast("long")).otherwise(F.xxhash64(F.lit("lo"), text))
-    return [scope.alias("_scope"), hi.alias("_hi"), lo.alias("_lo")]
+    lo = F.when(uuid, half(17)).when(digits, F.col("_number")).otherwise(F.xxhash64(F.lit("lo"), text))
+    return df.withColumns({"_scope": scope, "_hi": hi, "_lo": lo}).drop("_text", "_uuid", "_tail", "_number", "_hex")
 
 
 def _micros(c: str) -> Column:
@@ -61,39 +65,68 @@ def _complete(keys: list[str]) -> Column:
     return ok
 
 
-def live_runs(parents: DataFrame, keys: list[str], born: str, died: str) -> DataFrame:
-    """Contiguous runs of live time per key: keys, ``run_from``, ``run_until`` (half-open microseconds).
-
-    A row without ``died`` lives on. A row without ``born`` was never live; it gives an empty run at the
-    start of time. Repeated, nested and touching rows make one run.
+def _segment_maxima(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Largest value so far within each stretch of equal ``group`` numbers, which ascend."""
+    order, rank = np.unique(value, return_inverse=True)
+    return order[np.maximum.accumulate(group * len(order) + rank) - group * len(order)]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of keys and of live time, of parents in the order of _scope, _hi, _lo, _from, _until."""
+    key: np.ndarray | None = None  # the run of keys and the run of time that may go on in the next batch
+    life: np.ndarray | None = None
+
+    def out(keys: np.ndarray, lives: np.ndarray) -> pa.RecordBatch:
+        # a run of keys is scope, hi, first, last; one of time is scope, hi, lo, from, until
+        n, m = keys.shape[1], lives.shape[1]
+        both = [np.r_[keys[i], lives[i]] for i in range(3)]
+        last, until = np.r_[keys[3], np.zeros(m, np.int64)], np.r_[np.zeros(n, np.int64), lives[4]]
+        columns = [*both, np.r_[np.full(n, _MIN), lives[3]], np.r_[np.full(n, _KEY_RUN), np.full(m, _LIVE_RUN)].astype(np.int32), last, until]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*_ORDER, "_last", "_until"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("_scope", "_hi", "_lo", "_from", "_until")])
+        rows = rows if life is None else np.c_[life, rows]
+        change = (np.diff(rows[:3]) != 0).any(axis=0)
+        group = np.cumsum(np.r_[0, change])
+        reach = _segment_maxima(group, rows[4])
+        first = np.flatnonzero(np.r_[True, change | (rows[3][1:] > reach[:-1])])
+        lives = np.concatenate([rows[:4, first], reach[np.r_[first[1:] - 1, rows.shape[1] - 1]][None]])
+        distinct = rows[:3, np.flatnonzero(np.r_[True, change])]
+        keys = np.concatenate([distinct, distinct[2:]])
+        if key is not None:
+            # the first key of this batch may be the last of the run that is held
+            keys = np.c_[key, keys[:, int((keys[:2, :1] == key[:2]).all() and keys[2, 0] <= key[3, 0]) :]]
+        starts = np.flatnonzero(np.r_[True, (np.diff(keys[:2]) != 0).any(axis=0) | (keys[2, 1:] != keys[3, :-1] + 1)])
+        keys = np.concatenate([keys[:3, starts], keys[3:, np.r_[starts[1:] - 1, keys.shape[1] - 1]]])
+        yield out(keys[:, :-1], lives[:, :-1])
+        key, life = keys[:, -1:], lives[:, -1:]
+    if key is not None:
+        yield out(key, life)
+
+
+def parent_runs(parents: DataFrame, keys: list[str], born: str, died: str) -> DataFrame:
+    """The sorted integer keys of ``parents`` as contiguous runs, and the live time of each key as runs.
+
+    A row of rank 0 is a run of the keys ``_lo`` to ``_last``, both inclusive; one of rank 1 a run of live time of the key
+    ``_lo`` from ``_t`` until ``_until`` (half-open microseconds). A row without ``died`` lives on. A row without ``born``
+    was never live; it gives an empty run at the start of time. Repeated, nested and touching rows make one run.
     """
-    w = Window.partitionBy(*keys).orderBy("run_from", "run_until")
-    rows = (
-        parents.where(_complete(keys))
-        .select(
-            *keys,
-            F.coalesce(_micros(born), F.lit(_MIN)).alias("run_from"),
-            F.when(F.col(born).isNull(), F.lit(_MIN)).otherwise(F.coalesce(_micros(died), F.lit(_MAX))).alias("run_until"),
-        )
-        .distinct()
-        .withColumn("reach", F.max("run_until").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("run", F.sum(F.when(F.col("reach").isNull() | (F.col("run_from") > F.col("reach")), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = parents.where(_complete(keys)).select(
+        *keys,
+        F.coalesce(_micros(born), F.lit(_MIN)).alias("_from"),
+        F.when(F.col(born).isNull(), F.lit(_MIN)).otherwise(F.coalesce(_micros(died), F.lit(_MAX))).alias("_until"),
     )
-    return rows.groupBy(*keys, "run").agg(F.min("run_from").alias("run_from"), F.max("run_until").alias("run_until")).drop("run")
-
-
-def key_runs(coded: DataFrame) -> DataFrame:
-    """Contiguous runs of the integers of ``coded`` (_scope, _hi, _lo): ``_lo`` to ``_last``, both inclusive."""
-    part = F.shiftright("_lo", RUN_BITS)
-    w = Window.partitionBy("_scope", "_hi", "_part").orderBy("_lo")
-    distinct = coded.select("_scope", "_hi", "_lo").distinct().withColumn("_part", part)
-    runs = distinct.withColumn("_run", F.col("_lo") - F.row_number().over(w)).groupBy("_scope", "_hi", "_part", "_run")
-    return runs.agg(F.min("_lo").alias("_first"), F.max("_lo").alias("_last")).select("_scope", "_hi", F.col("_first").alias("_lo"), "_last")
+    rows = integer_keys(rows, keys).select("_scope", "_hi", "_lo", "_from", "_until").withColumn("_part", F.shiftright("_lo", RUN_BITS))
+    rows = rows.repartition("_scope", "_hi", "_part").sortWithinPartitions("_scope", "_hi", "_lo", "_from", "_until").drop("_part")
+    return rows.mapInArrow(_runs, "_scope long, _hi long, _lo long, _t long, _rank int, _last long, _until long")
 
 
 def _last_runs(ordered: DataFrame) -> list[dict[int, tuple]]:
     """For each partition the last run of each rank that starts before it; one row a partition and rank comes to the driver."""
-    run = F.struct("_scope", "_hi", "_lo", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("_last", "_until")])
+    run = F.struct("_scope", "_hi", "_lo", "_last", "_until")
     tails = ordered.where(F.col("_rank") != _REFERENCE).groupBy(F.spark_partition_id().alias("p"), "_rank").agg(F.max_by(run, F.struct(*_ORDER)).alias("r"))
     by_part: dict[int, dict[int, tuple]] = {}
     for row in tails.collect():
@@ -119,7 +152,7 @@ def _as_of(seeds: list[dict[int, tuple]], carried: list[str]):
             ahead = [before.get(rank) for rank in (_KEY_RUN, _LIVE_RUN)]
             rank = np.r_[[_KEY_RUN, _LIVE_RUN], batch.column("_rank").to_numpy()]
             known = np.r_[[a is not None for a in ahead], np.ones(batch.num_rows, bool)]
-            v = {n: np.r_[np.array([a[i] if a else 0 for a in ahead], np.int64), batch.column(n).fill_null(0).to_numpy()] for i, n in enumerate(names)}
+            v = {n: np.r_[np.array([a[i] if a else 0 for a in ahead], np.int64), batch.column(n).to_numpy()] for i, n in enumerate(names)}
             t = np.r_[np.zeros(2, np.int64), batch.column("_t").to_numpy()]
             place = np.arange(len(rank))
             preceding = {r: np.maximum.accumulate(np.where((rank == r) & known, place, -1)) for r in (_KEY_RUN, _LIVE_RUN)}
@@ -156,17 +189,14 @@ def orphan_references(refs: DataFrame, parents: DataFrame, keys: list[str], at:
     inner = [f"_c{i}" for i in range(len(carry))]
     types = dict(refs.dtypes)
     code = ["_scope", "_hi", "_lo"]
-    coded = parents.where(_complete(keys)).select(*integer_key(keys), F.col(born).alias("_born"), F.col(died).alias("_died"))
-    nothing = F.lit(None).cast("long")
+    nothing = F.lit(0).cast("long")
     none = [F.lit(None).cast(types[c]).alias(n) for c, n in zip(carry, inner, strict=True)]
-    known = key_runs(coded).select(*code, F.lit(_MIN).alias("_t"), F.lit(_KEY_RUN).alias("_rank"), "_last", nothing.alias("_until"), nothing.alias("_tie"), *none)
-    lives = live_runs(coded, code, "_born", "_died")
-    lives = lives.select(*code, F.col("run_from").alias("_t"), F.lit(_LIVE_RUN).alias("_rank"), nothing.alias("_last"), F.col("run_until").alias("_until"), nothing.alias("_tie"), *none)
+    known = parent_runs(parents, keys, born, died).select("*", nothing.alias("_tie"), *none)
     columns = [F.col(c).alias(n) for c, n in zip(carry, inner, strict=True)]
-    asked = refs.where(_complete(keys)).select(*integer_key(keys), F.coalesce(_micros(at), F.lit(_MAX)).alias("_t"), F.lit(_REFERENCE).alias("_rank"), nothing.alias("_last"), nothing.alias("_until"), *columns)
+    asked = integer_keys(refs.where(_complete(keys)), keys).select(*code, F.coalesce(_micros(at), F.lit(_MAX)).alias("_t"), F.lit(_REFERENCE).alias("_rank"), nothing.alias("_last"), nothing.alias("_until"), *columns)
     # references that are alike but for what they carry may be many: their hash lets the exchange split them
     asked = asked.withColumn("_tie", F.xxhash64(*inner)).select(known.columns)
-    ordered = known.unionByName(lives).unionByName(asked).repartitionByRange(*_ORDER, "_tie").sortWithinPartitions(*_ORDER)
+    ordered = known.unionByName(asked).repartitionByRange(*_ORDER, "_tie").sortWithinPartitions(*_ORDER)
     ordered = checkpointed(ordered.drop("_tie"))
     schema = ", ".join(f"{n} {types[c]}" for c, n in zip(carry, inner, strict=True)) + ", kind string"
     return ordered.mapInArrow(_as_of(_last_runs(ordered), inner), schema).toDF(*carry, "kind")

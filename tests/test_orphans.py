@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from strandframe.operators.orphans import integer_key, key_runs, live_runs, orphan_references, reference_key
+from strandframe.operators.orphans import integer_keys, orphan_references, parent_runs, reference_key
 
 T0 = datetime(2024, 1, 1)
 PARENT = "sample string, ref string, born timestamp, died timestamp"
@@ -52,8 +52,8 @@ def test_edges_of_a_life(spark):
     parents = [("a", "x", t(10), t(20)), ("a", "x", t(20), t(30)), ("a", "x", t(40), None)]
     refs = [(i, "a", "x", t(d)) for i, d in enumerate([9, 10, 19, 20, 29, 30, 39, 40, 99])]
     assert run(spark, refs, parents) == {(0, "late"), (5, "deleted"), (6, "deleted")}
-    runs = live_runs(spark.createDataFrame(parents, PARENT), ["sample", "ref"], "born", "died")
-    assert runs.count() == 2
+    runs = parent_runs(spark.createDataFrame(parents, PARENT), ["sample", "ref"], "born", "died")
+    assert runs.where("_rank = 1").count() == 2 and runs.where("_rank = 0").count() == 1
 
 
 def test_a_hot_missing_reference(spark):
@@ -77,12 +77,12 @@ IDS = ["m84_1/120/ccs", "m84_1/121/ccs", "m84_1/0121/ccs", "m84_1/12/ccs", "m84_
 
 def test_different_ids_have_different_integers(spark):
     df = spark.createDataFrame([(s, i) for s in ("a", "b") for i in IDS], "sample string, ref string")
-    assert df.select(*integer_key(["sample", "ref"])).distinct().count() == 2 * len(IDS)
+    assert integer_keys(df, ["sample", "ref"]).select("_scope", "_hi", "_lo").distinct().count() == 2 * len(IDS)
 
 
 def test_keys_are_compressed_into_runs(spark):
-    df = spark.createDataFrame([("a", f"m/{i}/ccs") for i in [*range(1000, 3000), *range(3005, 3010), 70_000, 70_000]], "sample string, ref string")
-    rows = key_runs(df.select(*integer_key(["sample", "ref"]))).collect()
+    df = spark.createDataFrame([("a", f"m/{i}/ccs") for i in [*range(1000, 3000), *range(3005, 3010), 70_000, 70_000]], "sample string, ref string").selectExpr("*", "timestamp'2024-01-01' born", "cast(null as timestamp) died")
+    rows = parent_runs(df, ["sample", "ref"], "born", "died").where("_rank = 0").collect()
     assert {(r._lo, r._last) for r in rows} == {(1000, 2999), (3005, 3009), (70_000, 70_000)}
 
 
