@@ -2,7 +2,7 @@
 
 The aggregate state of an (entity, bucket) is a sorted list of disjoint intervals. Map tasks build
 one per Arrow batch, a shuffle brings the lists of a bucket together, and each reducer combines them
-by a merge. An entity is cut by start position into buckets, so that no task holds a whole hot
+by a linear merge of sorted lists. An entity is cut by start position into buckets, so that no task holds a whole hot
 entity: a bucket's list has at most ``bucket_width`` entries, whatever the number of rows. The next
 level of the tree combines buckets through one small row each (start of the last interval, largest
 end); only that row is windowed per entity, and its result says which period is open on entering a
@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandframe.session import broadcast_if_small, checkpointed
+
 #: Positions per bucket. A fiber of ordinary length falls in one or two.
 BUCKET_WIDTH = 1 << 17
 
@@ -86,6 +88,19 @@ def _partial(names: list[str]):
     return run
 
 
+def _merged_order(group: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The order of entries by group and start, where each group holds sorted lists one behind the other.
+
+    Both are folded into one integer, in which the lists are ascending runs, and a stable sort of integers is a
+    merge of the runs it finds (timsort): pairs of lists are merged linearly, and the results again, as a tree.
+    """
+    low = int(start.min()) if len(start) else 0
+    span = int(start.max()) - low + 1 if len(start) else 1
+    if len(start) and int(group[-1] + 1) * span >= 1 << 62:
+        return np.lexsort([start, group])
+    return np.argsort(group * span + (start - low), kind="stable")
+
+
 def _combine(names: list[str]):
     def merge(table: pa.Table) -> pa.RecordBatch:
         keys = [table.column(n).combine_chunks() for n in names]
@@ -95,8 +110,10 @@ def _combine(names: list[str]):
         group = np.repeat(of_row, sizes)
         start = pa.compute.list_flatten(table.column("starts")).to_numpy()
         end = pa.compute.list_flatten(table.column("ends")).to_numpy()
-        order = np.lexsort([start, group])
-        return _lists(keys, names, head, *_merge_sorted(group[order], start[order], end[order]))
+        if len(head) < table.num_rows:
+            order = _merged_order(group, start)
+            group, start, end = _merge_sorted(group[order], start[order], end[order])
+        return _lists(keys, names, head, group, start, end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
@@ -182,7 +199,8 @@ def merged_periods(spans: DataFrame, keys: list[str], start: str | Column, end:
     rows = rows.withColumn("bucket", F.floor(F.col("s") / F.lit(bucket_width)).cast("long"))
     names = [*inner, "bucket"]
     state = ", ".join(f"{n} {types[n]}" for n in inner) + ", bucket long, starts array<long>, ends array<long>, last_start long, max_end long"
-    lists = (
+    # the lists are read twice, for their edges and for their intervals, so they are kept
+    lists = checkpointed(
         rows.mapInArrow(_partial(names), state)
         .repartition(*names)
         .sortWithinPartitions(*names)
@@ -199,6 +217,7 @@ def merged_periods(spans: DataFrame, keys: list[str], start: str | Column, end:
         .where("open_end is not null or later")
         .select(*[F.col(n).alias(f"e_{n}") for n in names], "open_start", "open_end", "later")
     )
+    edges = broadcast_if_small(edges, [])
     joined = lists.join(edges, [lists[n] == edges[f"e_{n}"] for n in names], "left")
     out = joined.select(*inner, "starts", "ends", "max_end", "open_start", "open_end", (~F.coalesce("later", F.lit(False))).alias("final"))
     schema = "kind string, " + ", ".join(f"{n} {types[n]}" for n in inner) + ", from_pos long, to_pos long"
