@@ -3,8 +3,9 @@
 A value is encoded as a 32-bit code that keeps its order. Each level halves the code's resolution; a
 level with more nodes than ``WIDTH`` is held in a Count-sketch of ``DEPTH`` signed rows, a coarser one in
 exact counters. All counters are sums, so sketches of partitions or days are merged by addition, and a
-row is deleted by a weight of -1. A rank is inverted by descending the levels. While a group has few
-distinct codes its sketch is kept as the sparse list of (code, weight) that it is a linear image of.
+row is deleted by a weight of -1. A rank is inverted by descending the levels of the counters, whatever the
+group's size. Only what is stored and sent differs: the state of a group with few distinct codes is the list
+of (code, weight) of which its counters are the linear image, and is turned into them when ranks are asked for.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ WIDTH = 1 << WIDTH_BITS
 SKETCHED = BITS - WIDTH_BITS
 #: Rank error as a share of the group's rows that these sizes keep with probability over 0.99.
 RANK_ERROR = 0.01
-#: Distinct codes from which a sketch is held densely.
+#: Distinct codes up to which a state is sent as their list, which is smaller than the counters. It changes no answer.
 SPARSE_CODES = 4096
 #: Codes that wait until they are taken into the counters together.
 ADD_AT_ONCE = 1 << 15
@@ -128,37 +129,35 @@ class Sketch:
                 yield level, row, None, self.cells[level, row].tobytes()
 
     def quantiles(self, shares: list[float]) -> tuple[int, list[float | None]]:
-        """Rows in the group, and for each share the least value with at least that share of rows up to it."""
+        """Rows in the group, and for each share the least value with at least that share of rows up to it, by the counters."""
         self.settle()
         if self.cells is None:
-            n = int(self.weights.sum())
-            if n <= 0:
-                return 0, [None] * len(shares)
-            upto = np.cumsum(self.weights)
-            return n, [decode(int(self.codes[min(np.searchsorted(upto, _rank(q, n), "right"), len(upto) - 1)])) for q in shares]
+            codes, weights = self.codes, self.weights
+            self._densify()
+            self._spread(codes, weights)
         n = int(self.tops.sum())
         if n <= 0:
             return 0, [None] * len(shares)
         upto = np.cumsum(self.tops)
-        out = []
-        for q in shares:
-            rank = _rank(q, n)
-            node = int(np.searchsorted(upto, rank, "right"))
-            rank -= int(upto[node - 1]) if node else 0
-            inside = int(self.tops[node])
-            for level in range(SKETCHED - 1, -1, -1):
-                counts = []
-                for child in (2 * node, 2 * node + 1):
-                    votes = []
-                    for row in range(DEPTH):
-                        place, sign = _places(level, row, np.array([child]))
-                        votes.append(int(sign[0] * self.cells[level, row, place[0]]))
-                    counts.append(max(0.0, float(np.median(votes))))
-                # the two children share what their parent holds
-                left = counts[0] * inside / sum(counts) if sum(counts) else inside / 2
-                node, rank, inside = (2 * node, rank, left) if rank < left else (2 * node + 1, rank - left, inside - left)
-            out.append(decode(node))
-        return n, out
+        rank = np.array([_rank(q, n) for q in shares], np.float64)
+        node = np.searchsorted(upto, rank, "right")
+        rank -= np.where(node > 0, upto[node - 1], 0)
+        inside = self.tops[node].astype(np.float64)
+        for level in range(SKETCHED - 1, -1, -1):
+            children = np.stack([2 * node, 2 * node + 1])
+            votes = []
+            for row in range(DEPTH):
+                place, sign = _places(level, row, children)
+                votes.append(sign * self.cells[level, row][place])
+            left, right = np.maximum(0.0, np.median(votes, axis=0))
+            # the two children share what their parent holds
+            with np.errstate(invalid="ignore", divide="ignore"):
+                left = np.where(left + right > 0, left * inside / (left + right), inside / 2)
+            goes_left = rank < left
+            node = np.where(goes_left, children[0], children[1])
+            rank = np.where(goes_left, rank, rank - left)
+            inside = np.where(goes_left, left, inside - left)
+        return n, [decode(int(x)) for x in node]
 
 
 def _rank(share: float, n: int) -> int:
@@ -311,8 +310,8 @@ def merge_sketches(states: DataFrame, keys: list[str], fan_in: int = 16) -> Data
 def quantiles(states: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
     """keys, ``share``, ``value`` and ``n`` for merged sketches: the least value with at least that share of rows up to it.
 
-    The rank of ``value`` is off by at most ``RANK_ERROR * n`` (and its last bits by 1e-6 of it); a group of up to
-    ``SPARSE_CODES`` distinct codes is exact but for those bits. A group without rows has none here.
+    The rank of ``value`` is off by at most ``RANK_ERROR * n`` (and its last bits by 1e-6 of it), for groups of any
+    size. A group without rows has none here.
     """
     if any(not 0 <= q <= 1 for q in shares):
         raise ValueError("shares lie in 0..1")

@@ -75,10 +75,22 @@ def test_rows_are_deleted_by_their_weight():
     assert merged([sketch_of(v[:50]), sketch_of(v[:50], -1)]).quantiles([0.5]) == (0, [None])
 
 
-def test_small_groups_are_exact():
-    v = draw("uniform", SPARSE_CODES)
-    _, got = sketch_of(v).quantiles([0.5])
-    assert got[0] == pytest.approx(np.sort(v)[SPARSE_CODES // 2 - 1], rel=1e-6)
+@pytest.mark.parametrize("kind", ["uniform", "zeros", "signed"])
+@pytest.mark.parametrize("n", [7, 1000, SPARSE_CODES])
+def test_states_kept_as_lists_answer_as_counters_do(kind, n):
+    v = draw(kind, n)
+    sparse, dense = sketch_of(v), Sketch()
+    dense._densify()
+    dense.add(encode(v), np.ones(n, np.int64))
+    assert sparse.cells is None and sparse.quantiles(SHARES) == dense.quantiles(SHARES)
+    assert rank_error(v, sparse.quantiles(SHARES)[1]) <= RANK_ERROR + 1 / n
+
+
+@pytest.mark.parametrize("kind", ["uniform", "zeros", "signed"])
+def test_ranks_of_a_million_values_stay_within_the_bound(kind):
+    v = draw(kind, 1_000_000, 3)
+    s = merged([sketch_of(p) for p in np.array_split(v, 9)])
+    assert rank_error(v, s.quantiles(SHARES)[1]) <= RANK_ERROR
 
 
 def test_in_spark_days_combine(spark):
