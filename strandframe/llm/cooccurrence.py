@@ -1,9 +1,12 @@
 """Items that occur together in baskets, and how much more often than chance.
 
-Pairs of a basket are packed into 64-bit codes. A task sorts and run-length counts the codes of each
-Arrow batch, so that what is shuffled is a sorted run of (code, count); Spark's sort spills such runs
-and merges them, and one more run-length count over the merged order gives the totals. Equal baskets
-are counted first, so a basket that a third of all rows share is cut into pairs once.
+Pairs of a basket are packed into 64-bit codes (beside a second code for the upper halves, which is 0 up
+to 2^32 items). A task sorts and run-length counts the codes of each Arrow batch, so that what is shuffled
+is a sorted run of (code, count); Spark's sort spills such runs and merges them, and one more run-length
+count over the merged order gives the totals. The items of a group that has many are dealt into chunks; a
+basket is one row a chunk, and what is paired is a chunk with itself or with another, each in a row of its
+own, so no basket is gathered and its pairs are made by many tasks. Equal baskets are counted first, so a
+basket that a third of all rows share is cut into pairs once.
 """
 
 from __future__ import annotations
@@ -19,31 +22,65 @@ from strandframe.session import broadcast_if_small, checkpointed
 
 #: Pair codes held at once in a task.
 CODES_AT_ONCE = 1 << 20
+#: Items of a group for each chunk: a row holds about as many codes of a basket at most.
+ITEMS_PER_CHUNK = 4096
 
 
-def _count_runs(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _count_runs(upper: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct codes in order, with their summed counts."""
-    order = np.argsort(codes, kind="stable")
-    codes, counts = codes[order], counts[order]
-    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
-    return codes[first], np.add.reduceat(counts, first) if len(first) else counts
+    order = np.lexsort([codes, upper]) if upper.any() else np.argsort(codes, kind="stable")
+    return _run_lengths(upper[order], codes[order], counts[order])
 
 
-def _batch(codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
+def _run_lengths(upper: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if not len(codes):
+        return upper, codes, counts
+    first = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (upper[1:] != upper[:-1])])
+    return upper[first], codes[first], np.add.reduceat(counts, first)
+
+
+def _packed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The upper and the lower halves of two item numbers, each pair of halves in 64 bits."""
+    low = np.int64((1 << 32) - 1)
+    return ((a >> 32) << 32) | (b >> 32), (a << 32) | (b & low)
+
+
+def _batch(upper: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(upper), pa.array(codes), pa.array(counts)], names=["upper", "code", "n"])
+
+
+_CODES = "upper long, code long, n long"
+
+
+class _Held:
+    """Pair codes of a task that wait to be counted."""
+
+    def __init__(self) -> None:
+        self._parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self._n = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self._parts.append((*_packed(a, b), counts))
+        self._n += len(counts)
+        if self._n >= CODES_AT_ONCE:
+            yield from self.out()
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        if self._parts:
+            yield _batch(*_count_runs(*(np.concatenate([p[i] for p in self._parts]) for i in range(3))))
+        self._parts, self._n = [], 0
 
 
 def _pair_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs within each row's items."""
     import pyarrow.compute as pc
 
+    held = _Held()
     for batch in batches:
         sizes = pc.list_value_length(batch.column("items")).to_numpy()
         flat = pc.list_flatten(batch.column("items")).to_numpy()
         start = np.cumsum(sizes) - sizes
         weight = batch.column("weight").to_numpy()
-        held_codes: list[np.ndarray] = []
-        held_counts: list[np.ndarray] = []
-        held = 0
         for size in np.unique(sizes[sizes > 1]).tolist():
             rows = np.flatnonzero(sizes == size)
             # a step is so many baskets, or so many first items of one large basket
@@ -54,15 +91,21 @@ def _pair_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 block = flat[start[r][:, None] + np.arange(size)]
                 for low in range(0, size, firsts):
                     i, j = _block_pairs(size, low, min(low + firsts, size))
-                    codes = ((block[:, i] << 32) | block[:, j]).ravel()
-                    held_codes.append(codes)
-                    held_counts.append(np.repeat(weight[r], len(i)))
-                    held += len(codes)
-                    if held >= CODES_AT_ONCE:
-                        yield _batch(*_count_runs(np.concatenate(held_codes), np.concatenate(held_counts)))
-                        held_codes, held_counts, held = [], [], 0
-        if held:
-            yield _batch(*_count_runs(np.concatenate(held_codes), np.concatenate(held_counts)))
+                    yield from held.add(block[:, i].ravel(), block[:, j].ravel(), np.repeat(weight[r], len(i)))
+        yield from held.out()
+
+
+def _cross_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of an item of each row's first chunk and one of its second."""
+    held = _Held()
+    for batch in batches:
+        for first, second in zip(batch.column("items"), batch.column("others"), strict=True):
+            x, y = first.values.to_numpy(), second.values.to_numpy()
+            step = max(1, CODES_AT_ONCE // max(1, len(y)))
+            for low in range(0, len(x), step):
+                a, b = np.repeat(x[low : low + step], len(y)), np.tile(y, len(x[low : low + step]))
+                yield from held.add(np.minimum(a, b), np.maximum(a, b), np.ones(len(a), np.int64))
+        yield from held.out()
 
 
 def _block_pairs(size: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,18 +116,17 @@ def _block_pairs(size: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray
 
 def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Run-length count over codes that arrive in order."""
-    last: tuple[np.ndarray, np.ndarray] | None = None
+    last: tuple[np.ndarray, ...] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        codes, counts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        runs = [batch.column(i).to_numpy() for i in range(3)]
         if last is not None:
-            codes, counts = np.r_[last[0], codes], np.r_[last[1], counts]
-        first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-        codes, counts = codes[first], np.add.reduceat(counts, first)
-        last = codes[-1:], counts[-1:]
-        if len(codes) > 1:
-            yield _batch(codes[:-1], counts[:-1])
+            runs = [np.r_[x, y] for x, y in zip(last, runs, strict=True)]
+        runs = _run_lengths(*runs)
+        last = tuple(x[-1:] for x in runs)
+        if len(runs[0]) > 1:
+            yield _batch(*(x[:-1] for x in runs))
     if last is not None:
         yield _batch(*last)
 
@@ -97,13 +139,19 @@ def _numbered(distinct: DataFrame, order: list[str]) -> DataFrame:
     for part in sorted(sizes):
         rows.append((part, total))
         total += sizes[part]
-    if total >= 1 << 31:
-        raise ValueError("more than 2^31 distinct items in baskets")
     offsets = distinct.sparkSession.createDataFrame(rows or [(0, 0)], "_of int, _offset long")
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     return pinned.withColumn("_n", within).join(F.broadcast(offsets), F.col("_part") == F.col("_of")).withColumn("code", F.col("_n") + F.col("_offset")).drop("_part", "_of", "_n", "_offset")
 
 
+def _chunk_pairs(baskets: DataFrame) -> DataFrame:
+    """Each two chunks of a basket in one row (``items``, ``others``), however many chunks it has."""
+    at = baskets.select("grp", "basket", "items", "chunk", F.explode(F.expr("sequence(0L, n_chunks - 1)")).alias("other")).where("chunk <> other")
+    keyed = at.select("grp", "basket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "items", (F.col("chunk") < F.col("other")).alias("first"))
+    others = keyed.where(~F.col("first")).select("grp", "basket", "low", "high", F.col("items").alias("others"))
+    return keyed.where("first").join(others, ["grp", "basket", "low", "high"]).select("items", "others")
+
+
 def pair_counts(rows: DataFrame) -> DataFrame:
     """Co-occurrence of items within the groups of ``rows``: grp, item, basket (all text).
 
@@ -115,21 +163,27 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     """
     rows = rows.select("grp", "item", "basket").where("grp is not null and item is not null and basket is not null")
     items = _numbered(rows.select("grp", "item").distinct(), ["grp", "item"])
-    small = broadcast_if_small(items, ["grp", "item"])
-    coded = rows.join(small, ["grp", "item"]).select("grp", "basket", "code")
-    # a basket has at most as many codes as its group has items, however many rows repeat them
-    baskets = coded.groupBy("grp", "basket").agg(F.array_sort(F.collect_set("code")).alias("items"))
-    alike = checkpointed(baskets.groupBy("grp", "items").agg(F.count(F.lit(1)).alias("weight")))
-    n = alike.groupBy("grp").agg(F.sum("weight").alias("n"))
+    chunks = items.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / ITEMS_PER_CHUNK).cast("long").alias("n_chunks"))
+    placed = items.join(broadcast_if_small(chunks, ["grp"]), "grp").withColumn("chunk", F.pmod("code", "n_chunks"))
+    coded = rows.join(broadcast_if_small(placed, ["grp", "item"]), ["grp", "item"]).select("grp", "basket", "chunk", "n_chunks", "code")
+    baskets = coded.groupBy("grp", "basket", "chunk", "n_chunks").agg(F.array_sort(F.collect_set("code")).alias("items"))
+    many = chunks.where("n_chunks > 1").limit(1).count() > 0
+    baskets = checkpointed(baskets) if many else baskets
+    alike = checkpointed(baskets.groupBy("grp", "n_chunks", "items").agg(F.count(F.lit(1)).alias("weight")))
+    # a basket of a group of one chunk is one row; of the others the distinct baskets are counted
+    n = alike.where("n_chunks = 1").groupBy("grp").agg(F.sum("weight").alias("n"))
     single = alike.select("weight", F.explode("items").alias("code")).groupBy("code").agg(F.sum("weight").alias("n_item"))
+    found = alike.select("items", "weight").mapInArrow(_pair_codes, _CODES)
+    if many:
+        n = n.unionByName(baskets.where("n_chunks > 1").select("grp", "basket").distinct().groupBy("grp").agg(F.count(F.lit(1)).alias("n")))
+        found = found.unionByName(_chunk_pairs(baskets.where("n_chunks > 1")).mapInArrow(_cross_codes, _CODES))
+    half = lambda c, up: F.shiftrightunsigned(c, 32) if up else F.col(c).bitwiseAND((1 << 32) - 1)
     # codes follow no order of the texts, so a pair's texts are put in order at the end
     pairs = (
-        alike.select("items", "weight")
-        .mapInArrow(_pair_codes, "code long, n long")
-        .repartition("code")
-        .sortWithinPartitions("code")
-        .mapInArrow(_merge_runs, "code long, n long")
-        .select(F.shiftright("code", 32).alias("code_a"), F.col("code").bitwiseAND((1 << 32) - 1).alias("code_b"), F.col("n").alias("n_ab"))
+        found.repartition("upper", "code")
+        .sortWithinPartitions("upper", "code")
+        .mapInArrow(_merge_runs, _CODES)
+        .select(*[F.shiftleft(half("upper", up), 32).bitwiseOR(half("code", up)).alias(name) for name, up in (("code_a", True), ("code_b", False))], F.col("n").alias("n_ab"))
     )
     known = broadcast_if_small(checkpointed(items.join(single, "code")), ["grp", "item"])
     a = known.select(F.col("code").alias("code_a"), "grp", F.col("item").alias("x"), F.col("n_item").alias("n_x"))
@@ -147,7 +201,7 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     )
     only_a, only_b = F.col("n_a") - F.col("n_ab"), F.col("n_b") - F.col("n_ab")
     neither = F.col("n") - F.col("n_a") - F.col("n_b") + F.col("n_ab")
-    half = 0.5
+    half = 0.5  # the continuity correction
     return out.withColumn("lift", F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b"))).withColumn(
         "odds_ratio", (F.col("n_ab") + half) * (neither + half) / ((only_a + half) * (only_b + half))
     )

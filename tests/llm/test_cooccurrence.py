@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +60,20 @@ def test_ratios(spark):
 
 def test_no_pairs(spark):
     assert run(spark, []) == [] and run(spark, [("g", "a", "1"), ("g", "a", "1"), ("h", "b", "1")]) == []
+
+
+def test_large_groups_are_paired_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(cooccurrence, "ITEMS_PER_CHUNK", 16)
+    rng = random.Random(2)
+    rows = [("g", f"i{rng.randrange(90)}", f"b{int(rng.expovariate(0.1))}") for _ in range(1500)] + [("h", f"i{rng.randrange(9)}", f"b{rng.randrange(9)}") for _ in range(60)]
+    assert as_dict(run(spark, rows)) == brute(rows)
+
+
+def test_items_beyond_32_bits_keep_their_pairs():
+    a, b = np.array([1, 1 << 33, (1 << 32) - 1, 5]), np.array([2, (1 << 33) + 1, 1 << 40, 1 << 32])
+    upper, code = cooccurrence._packed(a, b)
+    low = np.int64((1 << 32) - 1)
+    back = lambda up, x: (up << 32) | x
+    assert (back((upper >> 32) & low, (code >> 32) & low) == a).all() and (back(upper & low, code & low) == b).all()
+    counted = cooccurrence._count_runs(np.r_[upper, upper], np.r_[code, code], np.ones(8, np.int64))
+    assert len(counted[0]) == 4 and (counted[2] == 2).all()
