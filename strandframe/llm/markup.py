@@ -11,7 +11,9 @@ HIDDEN_LINKS = ("category", "kategorie", "catégorie", "categoría", "file", "im
 
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 _EMPTY_REF = re.compile(r"<ref\b[^>]*/\s*>", re.I)
-_REF = re.compile(r"<ref\b[^>]*>.*?(?:</ref\s*>|\Z)", re.I | re.S)
+_REF = re.compile(r"<ref\b[^>]*>.*?</ref\s*>", re.I | re.S)
+#: A footnote that is never closed hides its paragraph only.
+_OPEN_REF = re.compile(r"<ref\b[^>]*>.*?(?=\n[ \t]*\n|\Z)", re.I | re.S)
 _TABLE_LINE = re.compile(r"^[ \t]*(?:\{\|[^\n]*|\|-[^\n]*|\|\}|\|\+)", re.M)
 _CELL = re.compile(r"^[ \t]*[|!]", re.M)
 _CELL_ATTRIBUTES = re.compile(r"""(^[ \t]*[|!]|\|\||!!)[ \t]*(?:[a-zA-Z-]++[ \t]*+=[ \t]*+(?:"[^"|\n]*+"|'[^'|\n]*+'|[^\s|"'=!]++)[ \t]*+)++\|(?!\|)""", re.M)
@@ -33,10 +35,18 @@ def _label(m: re.Match) -> str:
     return target.removeprefix(":")
 
 
+def _footnotes_out(text: str, end: int) -> str:
+    """A text without footnotes; ``end`` is where its last end tag of a footnote begins, if any."""
+    close = text.find(">", end) + 1 if end >= 0 else 0
+    return _REF.sub("", text[:close]) + _OPEN_REF.sub("", text[close:])
+
+
 def visible_text(text: str) -> str:
     """The running text: link labels without targets; no comments, footnotes, tags, emphasis or entities; table cells in turn."""
     if "<" in text:
-        text = _REF.sub("", _EMPTY_REF.sub("", _COMMENT.sub("", text)))
+        text = _EMPTY_REF.sub("", _COMMENT.sub("", text))
+        end = text.lower().rfind("</ref")  # behind the last end of a footnote none is closed
+        text = _footnotes_out(text, end)
     if "|" in text or "!" in text:
         text = _TABLE_LINE.sub(" ", _CELL_ATTRIBUTES.sub(r"\1 ", text))
     while "[[" in text:

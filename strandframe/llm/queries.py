@@ -71,6 +71,12 @@ def p7_leaks_per_item(spark: SparkSession, d: str) -> DataFrame:
     return p7_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
+def p7_as_written(spark: SparkSession, d: str) -> DataFrame:
+    """Leaks among the ASCII letters and digits of whole texts, markup taken as text like any other."""
+    plain = lambda c: F.regexp_replace(c, "[^A-Za-z0-9]+", " ").alias(c)
+    return leaked_items(table(spark, d, "documents").select("doc_id", plain("text")), table(spark, d, "eval_items").select("item_id", plain("item_text")))
+
+
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mix(token_counts(table(spark, d, "documents")), table(spark, d, "mix_targets"))
 
@@ -89,7 +95,7 @@ def p9_rate_per_source(spark: SparkSession, d: str) -> DataFrame:
     return rate_per_source(docs, truncated(docs))
 
 
-QUERIES = {f.__name__: f for f in (p3_percentiles, p3_monthly_medians, p3_within_bound, p5_found, p5_pair_ratios, p7_found, p7_leaks_per_item, p8_mixture, p8_shares, p9_found, p9_rate_per_source)}
+QUERIES = {f.__name__: f for f in (p3_percentiles, p3_monthly_medians, p3_within_bound, p5_found, p5_pair_ratios, p7_found, p7_leaks_per_item, p7_as_written, p8_mixture, p8_shares, p9_found, p9_rate_per_source)}
 
 _PAIRS = """
 with b as (
@@ -107,7 +113,12 @@ with v as (select sample, 'frac_5mc_coverage' measure, frac_5mc_coverage v from
 n as (select sample, measure, count(*) n from v where v is not null and not isnan(v) group by 1, 2)
 """
 
+_GRAMS = """{t} as (select {i} i, string_split(trim(regexp_replace(lower(regexp_replace({c}, '[^A-Za-z0-9]+', ' ', 'g')), ' +', ' ', 'g')), ' ') w from {f} where {c} is not null),
+{t}_grams as (select distinct i, array_to_string(w[k:k + 11], ' ') g from (select i, w, unnest(range(1, len(w) - 10)) k from {t}))"""
+
 ORACLES = {
+    "p7_as_written": "with " + _GRAMS.format(t="d", i="doc_id", c="text", f="documents") + ",\n" + _GRAMS.format(t="q", i="item_id", c="item_text", f="eval_items")
+    + "\nselect distinct d_grams.i doc_id, q_grams.i item_id from d_grams join q_grams using (g)",
     "p3_within_bound": _VALUES + f"select sample, measure, s.share, n, true within_bound from n, (select unnest({PERCENTILES})::double share) s",
     "p5_found": _PAIRS + "select stitched_id, element_a, element_b from r where n_ab >= 10 and n_ab * n >= 2 * n_a * n_b",
     "p5_pair_ratios": _PAIRS

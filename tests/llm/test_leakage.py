@@ -22,6 +22,7 @@ WORDS = [f"w{i}" for i in range(400)]
         ('{| class="wikitable"\n! h || i\n|-\n| a b || c\n| style="x" | d\n|}\ne', "h i a b c d e"),
         ("[http://x.y/z the label] [https://q.r]", "the label"),
         ("cut <!-- open", "cut"),
+        ("a<ref>b</ref> c<ref>d e\nf\n\ng h", "a c g h"),
         ("A-b_c's Straße 12", "a b c s strasse 12"),
     ],
 )
@@ -79,14 +80,29 @@ def test_equals_brute_force(spark, seed):
     assert run(spark, docs, items) == brute(docs, items)
 
 
-def test_items_in_blocks(spark, monkeypatch):
+def test_long_texts_in_parts_and_many_bands(spark, monkeypatch):
     from strandframe.llm import leakage
 
     docs, items = corpus(3)
-    monkeypatch.setattr(leakage, "ITEMS_PER_BLOCK", 7)
+    monkeypatch.setattr(leakage, "PART_WORDS", 20)
+    monkeypatch.setattr(leakage, "_BANDS_AT_ONCE", 50)
     assert run(spark, docs, items) == brute(docs, items)
 
 
+def test_without_broadcast(spark, monkeypatch):
+    from strandframe.llm import leakage
+
+    docs, items = corpus(5)
+    monkeypatch.setattr(leakage, "broadcast_if_small", lambda df, columns: df)
+    assert run(spark, docs, items) == brute(docs, items)
+
+
+def test_candidates_that_share_a_shingle_only_are_refused(spark):
+    lead = "which of the following statements about the old harbour is"
+    docs = [(1, lead + " not known to anyone in the town today at all"), (2, lead + " true of every boat that has ever landed here")]
+    assert run(spark, docs, [(7, lead + " true of every boat that has ever sunk")]) == {(2, 7)}
+
+
 def test_other_lengths_and_empty_tables(spark):
     docs, items = corpus(4)
     assert run(spark, docs, items, min_words=8, shingle=3) == brute(docs, items, 8)
