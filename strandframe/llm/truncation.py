@@ -1,32 +1,25 @@
 """Texts that were cut short on their way.
 
-Two witnesses are asked. First, near-copies of a document are found through MinHash banding and
-verified; where a longer copy goes on in the middle of the word, sentence, entry or element with
-which the shorter one ends, the shorter one was cut. Second, a text is scored by how it closes: by markup left
-open, by a sign that something was left out, and by how often its closing word's shape ends a line of that
-kind anywhere in the corpus. A closing line that other documents hold as a complete line before their
+Near-copies of a text are found through MinHash banding and verified (``copies``); where a copy goes on behind
+the text's end, the alignment tells whether the text ends early. Texts without such a copy are scored by how they
+close: by markup left open, by a sign that something was left out, and by how often the closing word's shape ends a
+line of that kind anywhere in the corpus. A closing line that other documents hold as a complete line before their
 end (a careless note, a template) is complete, unless markup is left open: a table's row stands in many tables.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.leakage import WordCodes, shingle_hashes
-from strandframe.llm.markup import WORD
+from strandframe.llm.copies import CUT, matched_texts, sign_at
 from strandframe.session import broadcast_if_small, checkpointed
 
-SIMILARITY, SHINGLE = 0.8, 5
-BANDS, BAND_ROWS = 14, 5
-_WORDS_HASHED = 1 << 15
 #: A closing shape is unfinished where at most this share of its occurrences in lines of the kind ends a line.
 TERMINALITY = 0.02
 #: A shape counts as seen so many times more, with the share of its last mark in lines of the kind; so rare shapes follow the mark.
@@ -35,12 +28,6 @@ BACK_OFF = 2
 #: So many documents are taken to be cut at any line, so that one witness is not enough for a line that ends one text.
 COMPLETE_SHARE, CUT_PRIOR = 0.3, 2
 
-_SIGN = re.compile(r"\s*(?:\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\)|…|(?<!\.)\.{3}|[\[(](?:truncated|cut|more|gekürzt|suite|sigue)[\])])\Z", re.I)
-#: The longest sign of omission with the space before it.
-_SIGN_LENGTH = 40
-#: What of a text's end is aligned: the widest stretch looked for, and a sign behind it.
-_END_LENGTH = 80 + _SIGN_LENGTH
-_CLOSED = re.compile(r"[.!?…][\"'»”)\]]*(?:</[a-z]+>)?\Z")
 _REDIRECT = re.compile(r"#(?:redirect|redirection|weiterleitung|redirección|redirec)", re.I)
 _HEADING = re.compile(r"(=+)[^=\n].*?[^=\n]?\1\s*\Z")
 _TAG_OPEN = re.compile(r"<(ref|blockquote|div|span|small|sub|sup|code|nowiki|gallery|table)\b[^<>]*(?<!/)>", re.I)
@@ -161,18 +148,11 @@ def _closing_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield out()
 
 
-def _sign_at(body: str) -> int:
-    """Where a sign of omission at the end begins; the length of the text where there is none."""
-    low = max(0, len(body) - _SIGN_LENGTH)
-    m = _SIGN.search(body, low)
-    return m.start() if m else len(body)
-
-
 def closing(text: str) -> tuple[str, str, bool, bool, str]:
     """Kind of the last line, shape of its last word, sign of omission, open markup, and the closing line."""
     body = text.rstrip()
     line = body[body.rfind("\n") + 1 :].strip()
-    sign = _sign_at(body)
+    sign = sign_at(body)
     bare = body[:sign].rstrip() if sign < len(body) else body
     last = bare[bare.rfind("\n") + 1 :].strip()
     kind = line_kind(last)
@@ -193,15 +173,15 @@ def _closings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def unfinished(documents: DataFrame) -> DataFrame:
-    """doc_id of texts whose close is unfinished, by markup, sign or closing-word terminality."""
+def unfinished(texts: DataFrame, documents: DataFrame) -> DataFrame:
+    """doc_id of ``texts`` whose close is unfinished, by markup, sign or closing-word terminality in ``documents``."""
     counts = documents.select("text").mapInArrow(_closing_counts, "kind string, shape string, n_end long, n_inside long")
     counts = counts.groupBy("kind", "shape").agg(F.sum("n_end").alias("n_end"), F.sum("n_inside").alias("n_inside"))
     counts = checkpointed(counts)
     mark = F.expr("right(shape, 1)")
     shapes = counts.select(F.col("kind").alias("k"), F.col("shape").alias("s"), "n_end", "n_inside")
     marks = counts.groupBy(F.col("kind").alias("mk"), mark.alias("ms")).agg((F.sum("n_end") / F.sum(F.col("n_end") + F.col("n_inside"))).alias("of_mark"))
-    closings = documents.select("doc_id", "text").mapInArrow(_closings, "doc_id long, kind string, shape string, sign boolean, open boolean, line string")
+    closings = texts.select("doc_id", "text").mapInArrow(_closings, "doc_id long, kind string, shape string, sign boolean, open boolean, line string")
     scored = closings.join(broadcast_if_small(shapes, ["k", "s"]), (F.col("kind") == F.col("k")) & (F.col("shape") == F.col("s")), "left")
     scored = scored.join(broadcast_if_small(marks, ["mk", "ms"]), (F.col("kind") == F.col("mk")) & (mark == F.col("ms")), "left")
     n_end, n_inside, of_mark = (F.coalesce(c, F.lit(0)) for c in ("n_end", "n_inside", "of_mark"))
@@ -218,159 +198,6 @@ def unfinished(documents: DataFrame) -> DataFrame:
     return suspects.where("open").select("doc_id").unionByName(closed.join(witnesses, "h", "left_anti").select("doc_id"))
 
 
-_rng = np.random.Generator(np.random.PCG64(0xC0FFEE))
-_MULT = _rng.integers(1, (1 << 63) - 1, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _plain_words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
-
-
-def band_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Keys of the bands of MinHash signatures: one row a document, whose shingle hashes begin at ``starts``."""
-    low = np.empty((len(starts), BANDS * BAND_ROWS), np.uint64)
-    with np.errstate(over="ignore"):
-        for k, m in enumerate(_MULT):
-            h = hashes * m
-            h ^= h >> np.uint64(31)
-            low[:, k] = np.minimum.reduceat(h, starts)
-        rows = low.reshape(len(starts), BANDS, BAND_ROWS)
-        key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(starts), 1))
-        for r in range(BAND_ROWS):
-            key = (key ^ rows[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
-    return key.view(np.int64)
-
-
-def _tails(short: str) -> Iterator[str]:
-    """The ends of a text that are aligned: as they are, then without a sign of omission, the wider first."""
-    body = short.rstrip()
-    sign = _sign_at(body)
-    for own in (body, body[:sign]) if sign < len(body) else (body,):
-        for width in (80, 40):
-            tail = own[-width:]
-            if len(tail) >= 20:
-                yield tail
-
-
-def goes_on_inside(short: str, long: str) -> bool:
-    """Whether the longer text goes on inside the unit that ends the shorter.
-
-    The last words of the shorter text are looked for in the longer, as they are and then without a sign of omission.
-    Behind them the longer must go on in the same word, or in the same line where the shorter one closes no sentence.
-    """
-    for tail in _tails(short):
-        at = long.rfind(tail)
-        if at >= 0:
-            rest = long[at + len(tail) :]
-            if not rest.strip():
-                return False
-            inside_word = tail[-1].isalnum() and rest[0].isalnum()
-            goes_on = rest[0] != "\n" and bool(rest.split("\n", 1)[0].strip())
-            return inside_word or (goes_on and _CLOSED.search(tail.rstrip()) is None)
-    return False
-
-
-def _may_go_on(short: str) -> bool:
-    """Whether any longer text could go on inside the end of this one."""
-    return any(tail[-1].isalnum() or _CLOSED.search(tail.rstrip()) is None for tail in _tails(short))
-
-
-def _end_key(of: int, text: str) -> int:
-    """Equal for texts whose widest tail is the same: none of them goes on behind the other's end."""
-    tail = next(_tails(text), "")
-    return int.from_bytes(hashlib.blake2b(tail.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) if tail else of
-
-
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codes = WordCodes()
-
-    def signed(held: list[tuple[int, str, np.ndarray]]) -> pa.RecordBatch:
-        # the words of several documents are hashed in one go; shingles over an edge are left out
-        length = np.array([len(w) for _, _, w in held])
-        hashes = shingle_hashes(np.concatenate([w for _, _, w in held]), SHINGLE)
-        ends = np.cumsum(length)
-        whole = np.ones(len(hashes), bool)
-        for k in range(1, SHINGLE):
-            whole[ends[:-1] - k] = False
-        counts = length - (SHINGLE - 1)
-        keys = band_keys(hashes[whole], np.r_[0, np.cumsum(counts)[:-1]])
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-        size, may, end = ([f(i, t) for i, t, _ in held] for f in (lambda _, t: len(t), lambda _, t: _may_go_on(t), _end_key))
-        columns = [pa.array([i for i, _, _ in held], pa.int64()), pa.array(size, pa.int64()), pa.array(may, pa.bool_()), pa.array(end, pa.int64()), lists]
-        return pa.RecordBatch.from_arrays(columns, names=["id", "size", "may", "end", "buckets"])
-
-    for batch in batches:
-        held: list[tuple[int, str, np.ndarray]] = []
-        n_words = 0
-        for of, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = codes(_plain_words(text))
-            if len(words) >= SHINGLE:
-                held.append((of, text, words))
-                n_words += len(words)
-            if n_words >= _WORDS_HASHED:
-                yield signed(held)
-                held, n_words = [], 0
-        if held:
-            yield signed(held)
-
-
-def near_copy_candidates(texts: DataFrame) -> DataFrame:
-    """Pairs (id, longer_id) of texts: each with every longer member of each of its buckets.
-
-    ``texts`` has id, which equal texts share, and text. Equal texts are one member of a bucket, so copies, however many,
-    give no pairs. Left out are only pairs that can't show a cut: a shorter text behind whose end nothing can go on, and
-    texts that end in the same words. Large buckets are split by the join.
-    """
-    signatures = texts.mapInArrow(_signatures, "id long, size long, may boolean, end long, buckets array<long>")
-    signatures = checkpointed(signatures.dropDuplicates(["id"]))
-    bands = signatures.select("id", "size", "may", "end", F.explode("buckets").alias("bucket"))
-    longer = bands.select("bucket", F.col("id").alias("longer_id"), F.col("size").alias("longer_size"), F.col("end").alias("longer_end"))
-    pairs = bands.where("may").join(longer, "bucket").where("size < longer_size and end <> longer_end")
-    return pairs.select("id", "longer_id").distinct()
-
-
-def similarity(a: str, b: str) -> float:
-    """Jaccard similarity of the texts' sets of shingles."""
-    codes = WordCodes()
-    x, y = (np.unique(shingle_hashes(codes(_plain_words(t)), SHINGLE)) for t in (a, b))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / max(1, len(x) + len(y) - both)
-
-
-def _ends_inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        inside = [goes_on_inside(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        keep = pa.array(inside, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["id", "longer_id"])
-
-
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        alike = [similarity(a, b) >= SIMILARITY for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(alike, pa.bool_()))], names=["id"])
-
-
-def cut_copies(documents: DataFrame) -> DataFrame:
-    """doc_id of documents that end inside a unit with which a near-copy goes on.
-
-    Of the shorter text only the end is brought to the longer one. Whole texts are compared for the pairs that are left.
-    """
-    docs = documents.select("doc_id", F.xxhash64("text").alias("id"), "text")
-    pairs = checkpointed(near_copy_candidates(docs.select("id", "text")))
-
-    def of(wanted: DataFrame, column: str, value: F.Column, name: str) -> DataFrame:
-        ids = broadcast_if_small(wanted.select(F.col(column).alias("id")).distinct(), [])
-        return docs.join(ids, "id", "left_semi").select(F.col("id").alias(column), value.alias(name)).dropDuplicates([column])
-
-    ends = of(pairs, "id", F.expr(f"right(regexp_replace(text, '\\\\s+$', ''), {_END_LENGTH})"), "ending")
-    aligned = pairs.join(ends, "id").join(of(pairs, "longer_id", F.col("text"), "longer"), "longer_id")
-    kept = checkpointed(aligned.select("id", "longer_id", "ending", "longer").mapInArrow(_ends_inside, "id long, longer_id long"))
-    both = kept.join(of(kept, "id", F.col("text"), "text"), "id").join(of(kept, "longer_id", F.col("text"), "longer"), "longer_id")
-    found = both.select("id", "text", "longer").mapInArrow(_alike, "id long").distinct()
-    return docs.join(broadcast_if_small(checkpointed(found), []), "id", "left_semi").select("doc_id").distinct()
-
-
 def truncated(documents: DataFrame) -> DataFrame:
     """Documents whose text stops before its page did: ``doc_id``, ``by_copy``, ``by_close``.
 
@@ -378,9 +205,13 @@ def truncated(documents: DataFrame) -> DataFrame:
     row; rows of one id are judged each and reported once. Whole texts are read, and all statistics are of all documents.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and trim(text) <> ''")
-    a = cut_copies(docs).select("doc_id", F.lit(True).alias("a"), F.lit(False).alias("b"))
-    b = unfinished(docs).select("doc_id", F.lit(False).alias("a"), F.lit(True).alias("b"))
-    return a.unionByName(b).groupBy("doc_id").agg(F.max("a").alias("by_copy"), F.max("b").alias("by_close"))
+    docs = docs.withColumn("id", F.xxhash64("text"))
+    matched = checkpointed(matched_texts(docs.select("id", "text")))
+    known = broadcast_if_small(matched, [])
+    by_copy = docs.join(known.where(F.col("verdict") == CUT), "id", "left_semi").select("doc_id", F.lit(True).alias("a"), F.lit(False).alias("b"))
+    rest = docs.join(known, "id", "left_anti").select("doc_id", "text")
+    by_close = unfinished(rest, docs).select("doc_id", F.lit(False).alias("a"), F.lit(True).alias("b"))
+    return by_copy.unionByName(by_close).groupBy("doc_id").agg(F.max("a").alias("by_copy"), F.max("b").alias("by_close"))
 
 
 def rate_per_source(documents: DataFrame, found: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandframe.llm.truncation import closing, closing_unit, goes_on_inside, open_markup, rate_per_source, shape, similarity, truncated
+from strandframe.llm.copies import COMPLETE, CUT, NOT_ALIKE, head_sizes, matched_texts, similarity, verdict
+from strandframe.llm.truncation import closing, closing_unit, open_markup, rate_per_source, shape, truncated
 
 NOUNS = "mill tower harbour bridge school orchard quarry market".split()
 
@@ -42,8 +43,10 @@ def test_shapes_units_and_closings():
 
 def test_alignment():
     long = "The first line is here to stay. The second sentence goes on for a while and then it ends.\n\nMore."
-    assert goes_on_inside(long[:70], long) and goes_on_inside(long[:70] + " [...]", long) and goes_on_inside(long[:68] + "…", long)
-    assert not goes_on_inside(long[:31], long) and not goes_on_inside(long.split("\n")[0], long) and not goes_on_inside("Something else entirely, not there at all.", long)
+    assert all(verdict(x, long) == CUT for x in (long[:70], long[:70] + " [...]", long[:68] + "…", long.split("\n")[0] + " [...]"))
+    assert all(verdict(x, long) == COMPLETE for x in (long[:31], long.split("\n")[0]))
+    assert verdict("Something else entirely, not there at all.", long) == NOT_ALIKE == verdict(long, long) == verdict("Other words stand before, many of them. " + long[:70], long)
+    assert verdict(long[:31], long, open_markup=True) == CUT
     assert similarity(long, long) == 1.0 and similarity(long, "x") == 0.0
 
 
@@ -137,3 +140,61 @@ def test_elements_that_span_paragraphs_are_open(text):
 @pytest.mark.parametrize("text", ["{{Box\n| a = 1\n\nThe page goes on.", "{{slip\n\n{|\n| a\n|}", "x<ref name=a/>.\n\nTwo.", "<div>One.\n\nTwo.</div>\n\nEnd."])
 def test_slips_and_closed_elements_are_not_open(text):
     assert not open_markup(text)
+
+
+def cut_corpus(n=120):
+    """Pages with several revisions, and texts cut from some of them at any depth."""
+    rng = random.Random(11)
+    texts = {}
+    for i in range(n):
+        text = page(rng, rng.choice([2, 6, 15]))
+        words = text.split(" ")
+        for r in range(rng.choice([1, 2, 3])):
+            edited = " ".join(rng.choice(NOUNS) if rng.random() < 0.01 * r else w for w in words) + rng.choice(["", "\n\nAnd so on.", "\n\n* One more, 1900"])
+            texts[i * 10 + r] = edited
+        if i % 2:
+            whole = texts[i * 10]
+            texts[i * 10 + 9] = whole[: rng.randrange(min(90, len(whole) - 2), len(whole) - 1)] + rng.choice(["", "", "…", " [...]"])
+    return texts
+
+
+def test_recall_against_brute_force(spark):
+    """All pairs are compared here; the operator must match the same texts, but for what its signatures miss."""
+    texts = cut_corpus()
+    want = {}
+    for a, x in texts.items():
+        for b, y in texts.items():
+            if a != b and x != y and a // 10 == b // 10 and len(y) > len(x.rstrip()) - 40:
+                v = verdict(x, y, open_markup(x.rstrip()))
+                want[x] = max(want.get(x, 0), v)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("id", F.xxhash64("text"))
+    by_id = {r.id: r.text for r in df.collect()}
+    got = {by_id[r.id]: r.verdict for r in matched_texts(df.select("id", "text")).collect()}
+    cut = {x for x, v in want.items() if v == CUT}
+    found = {x for x, v in got.items() if v == CUT}
+    assert len(cut) >= 50 and len(found & cut) >= 0.95 * len(cut) and found <= cut
+    # how deep a cut is doesn't matter
+    deep = {texts[i] for i in texts if i % 10 == 9 and len(texts[i]) < 0.3 * len(texts[i - 9]) and texts[i] in cut}
+    assert len(deep) >= 5 and len(found & deep) >= 0.9 * len(deep)
+
+
+def test_cuts_that_only_a_copy_shows_are_found(spark):
+    rng = random.Random(12)
+    whole = page(rng, 8) + "\n\n* Old kiln, 1697\n* New kiln, 1802\n\nAll is said."
+    rows = [(i, "a", page(rng)) for i in range(80)] + [(900, "a", whole), (901, "b", whole[: whole.index("1697") + 2]), (902, "b", whole[: whole.index("1697") + 4])]
+    rows = truncated(spark.createDataFrame(rows, "doc_id long, source string, text string")).where("doc_id >= 900").collect()
+    assert {(r.doc_id, r.by_copy, r.by_close) for r in rows} == {(901, True, False)}
+
+
+def test_head_sizes():
+    assert head_sizes(3) == [] and head_sizes(4) == [4] and head_sizes(100) == [4, 16, 64]
+
+
+def test_a_hot_page_of_revisions(spark):
+    rng = random.Random(13)
+    base = page(rng, 12)
+    rows = [(i, "a", base + f"\n\n* Mill number {i}, {1700 + i}\n\nAll is said.") for i in range(400)]
+    cut = base + "\n\n* Mill number 17, 17"
+    rows += [(900, "b", cut), (901, "b", base[: base.index("keepers", len(base) // 2) + 3])]
+    found = {r.doc_id for r in truncated(spark.createDataFrame(rows, "doc_id long, source string, text string")).where("by_copy").collect()}
+    assert found == {900, 901}
