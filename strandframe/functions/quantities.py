@@ -18,8 +18,9 @@ from strandframe.session import broadcast_if_small, checkpointed
 #: A cell of nothing but numbers, list commas and missing tokens; Java and DuckDB read it alike.
 BARE = r"^[-+0-9.,eE \t]*$"
 _HAS_VALUE = r"[0-9]"
-#: Share of a run's bare values that must lie above a scale's end before the scale is ruled out.
+#: Share of a run's bare values that must lie above a scale's end before the scale is ruled out: broken values are rarer.
 STRAY = 0.02
+#: A call is wrong with a probability of 10^-4.5 at the least, so a phred value ends here, well below the values of percents.
 _PHRED_END = 45.0
 
 QUALITY_FIELDS = ("m5c_qual", "m6a_qual")
@@ -69,16 +70,19 @@ def _read_notes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def run_units(m5c: DataFrame, records: DataFrame, runs: DataFrame) -> DataFrame:
     """Unit of the bare values of each run and field: ``run``, ``field``, ``bare_unit``.
 
-    A note decides; without one the run's bare values do. A run without either has no row, and its
+    A note decides; without one, or where the notes of a run contradict one another, the run's bare values do. A run without either has no row, and its
     values stand in the field's own unit. A null run_id counts as one run of its own.
     """
     run = F.coalesce(F.col("run_id"), F.lit("")).alias("run")
     noted = (
         runs.where("run_id is not null and scale_note is not null")
-        .groupBy("run_id")
-        .agg(F.min("scale_note").alias("scale_note"))
         .select(run, "scale_note")
+        .distinct()
         .mapInArrow(_read_notes, "run string, field string, noted string")
+        .groupBy("run", "field")
+        .agg(F.min("noted").alias("noted"), F.max("noted").alias("other"))
+        .where("noted = other")
+        .drop("other")
     )
     seen = _evidence(m5c.select(run, _clean("prob").alias("prob")), ["prob"], False).unionByName(
         _evidence(records.select(run, *[_clean(f).alias(f) for f in QUALITY_FIELDS]), list(QUALITY_FIELDS), True)
@@ -142,6 +146,7 @@ def _as_fraction(v: Column, unit: Column) -> Column:
         .when(unit == "permille", v / 1000.0)
         .when(unit == "byte", v / 255.0)
         .when(unit == "phred", 1.0 - F.pow(F.lit(10.0), -v / 10.0))
+        .when(unit.startswith("per_"), v / F.substring_index(unit, "_", -1).try_cast("double"))
         .otherwise(v)
     )
     return F.when((p >= 0) & (p <= 1.0), p)

@@ -34,6 +34,24 @@ def test_units_of_cells(affix, unit):
         ("m6A lists in percent", {"m6a_qual": "percent"}),
         ("prob = ML / 255", {"prob": "fraction"}),
         ("probabilities in thousandths", {"prob": "permille"}),
+        ("prob stored as phred of the error 1-p", {"prob": "phred"}),
+        ("values per 10000", dict.fromkeys(("prob", "m5c_qual", "m6a_qual"), "per_10000")),
+        ("scaled 0-65535", dict.fromkeys(("prob", "m5c_qual", "m6a_qual"), "per_65535")),
+        ("parts per million", dict.fromkeys(("prob", "m5c_qual", "m6a_qual"), "per_1000000")),
+        ("prob in ppm", {"prob": "per_1000000"}),
+        ("prob ×100", {"prob": "percent"}),
+        ("prob 0-99", {"prob": "per_99"}),
+        ("prob times 10^3", {"prob": "permille"}),
+        ("probabilities multiplied by 2³", {"prob": "per_8"}),
+        ("prob as uint16", {"prob": "per_65535"}),
+        ("8-bit probabilities", {"prob": "byte"}),
+        ("prob in hundredths", {"prob": "percent"}),
+        ("prob not yet divided by 1000", {"prob": "permille"}),
+        ("kept 100 percent of reads", {}),
+        ("percent of reads passing 90%", {}),
+        ("yield 0-100 reads", {}),
+        ("prob passed in 90 % of the runs", {}),
+        ("percentile bins", {}),
         ("half flow cell, low yield", {}),
         ("checked by bench team", {}),
         ("3 ml added, 255 reads lost", {}),
@@ -48,11 +66,12 @@ def test_notes(note, said):
 def test_ambiguous_pieces_follow_the_prior():
     assert ("field", "qual") in segment("ML lists")
     assert all(kind != "foreign" for kind, _ in segment("ml q per cent"))
+    assert ("foreign", "millilitre") in segment("ml", "volume") and ("foreign", "thou") in segment("mil", "length")
 
 
 def test_conversion():
     assert to_fraction(50, "percent") == 0.5 and to_fraction(255, "byte") == 1 and to_fraction(500, "permille") == 0.5
-    assert math.isclose(to_fraction(10, "phred"), 0.9)
+    assert math.isclose(to_fraction(10, "phred"), 0.9) and to_fraction(5000, "per_10000") == 0.5
 
 
 def tables(spark, m5c=(), records=(), runs=()):
@@ -90,6 +109,14 @@ def test_fractions_keep_places(spark):
     assert got[1, 0] == pytest.approx(0.97) and got[1, 1] is None and got[1, 2] == pytest.approx(0.03) and got[2, 0] == pytest.approx(0.2)
 
 
+def test_scales_of_any_size_and_several_notes_of_a_run(spark):
+    m5c = [(1, "a", "5000"), (2, "b", "0.5"), (3, "c", "50")]
+    runs = [("a", "values per 10000"), ("b", "prob in percent"), ("b", "prob in per mille"), ("c", "night run"), ("c", "prob in percent")]
+    cells = recorded_units(*tables(spark, m5c=m5c, runs=runs))
+    got = {r.row_id: (r.unit, r.fraction) for r in fractions(cells).collect()}
+    assert got == {1: ("per_10000", 0.5), 2: ("fraction", 0.5), 3: ("percent", 0.5)}
+
+
 def test_empty_tables(spark):
     assert units(spark) == {}
     assert run_units(*tables(spark)).count() == 0
