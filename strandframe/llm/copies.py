@@ -31,7 +31,6 @@ HEAD, HEAD_FACTOR = 4, 4
 #: Shingles of the window whose least one is the anchor.
 ANCHOR_WINDOW = 8
 _WORDS_HASHED = 1 << 15
-_ANCHORS_AT_ONCE = 1 << 18
 NOT_ALIKE, COMPLETE, CUT = 0, 1, 2
 
 _SIGN = re.compile(r"\s*(?:\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\)|…|(?<!\.)\.{3}|[\[(](?:truncated|cut|more|gekürzt|suite|sigue)[\])])\Z", re.I)
@@ -88,30 +87,48 @@ def head_keys(hashes: list[np.ndarray]) -> list[np.ndarray]:
     return [key[i, : len(s)].view(np.int64) for i, s in enumerate(sizes)]
 
 
+def _hashed(batch: pa.RecordBatch, codes: WordCodes) -> Iterator[tuple[list[int], list[str], list[np.ndarray], list[np.ndarray]]]:
+    """Ids, texts, shingle hashes and word codes of some texts at a time, whose words are hashed in one go."""
+    ids: list[int] = []
+    texts: list[str] = []
+    of_words: list[np.ndarray] = []
+    n = 0
+
+    def out() -> tuple[list[int], list[str], list[np.ndarray], list[np.ndarray]]:
+        # shingles over an edge belong to no text
+        flat = shingle_hashes(np.concatenate(of_words), SHINGLE)
+        begin, hashes = 0, []
+        for w in of_words:
+            hashes.append(flat[begin : max(begin, begin + len(w) - SHINGLE + 1)])
+            begin += len(w)
+        return ids, texts, hashes, of_words
+
+    for of, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        ids.append(of)
+        texts.append(text.as_py())
+        of_words.append(codes(plain_words(texts[-1])))
+        n += len(of_words[-1])
+        if n >= _WORDS_HASHED:
+            yield out()
+            ids, texts, of_words, n = [], [], [], 0
+    if ids:
+        yield out()
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes = WordCodes()
 
-    def signed(ids: list[int], hashes: list[np.ndarray]) -> pa.RecordBatch:
+    def signed(ids: list[int], hashes: list[np.ndarray], may: list[bool]) -> pa.RecordBatch:
         keys = head_keys(hashes)
-        own = [k[-1] for k in keys]
+        own = [k[-1] if asks else k[-1][:0] for k, asks in zip(keys, may, strict=True)]
         lists = lambda of: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([x.size for x in of])].astype(np.int32)), pa.array(np.concatenate([x.ravel() for x in of])))
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists(keys), lists(own)], names=["id", "keys", "own"])
 
     for batch in batches:
-        ids: list[int] = []
-        hashes: list[np.ndarray] = []
-        n = 0
-        for of, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            h = shingle_hashes(codes(plain_words(text.as_py())), SHINGLE)
-            if len(h) >= HEAD:
-                ids.append(of)
-                hashes.append(h)
-                n += len(h)
-            if n >= _WORDS_HASHED:
-                yield signed(ids, hashes)
-                ids, hashes, n = [], [], 0
-        if ids:
-            yield signed(ids, hashes)
+        for ids, texts, hashes, _ in _hashed(batch, codes):
+            at = [i for i, h in enumerate(hashes) if len(h) >= HEAD]
+            if at:
+                yield signed([ids[i] for i in at], [hashes[i] for i in at], [may_go_on(texts[i]) for i in at])
 
 
 def buckets(texts: DataFrame) -> DataFrame:
@@ -150,10 +167,12 @@ def _nearest(long: str, tail: str, at: int) -> int:
     return before if at - before <= behind - at else behind
 
 
+_codes = WordCodes()
+
+
 def similarity(a: str, b: str) -> float:
     """Jaccard similarity of the texts' sets of shingles."""
-    codes = WordCodes()
-    x, y = (np.unique(shingle_hashes(codes(plain_words(t)), SHINGLE)) for t in (a, b))
+    x, y = (np.unique(shingle_hashes(_codes(plain_words(t)), SHINGLE)) for t in (a, b))
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / max(1, len(x) + len(y) - both)
 
@@ -184,48 +203,64 @@ def _place(words_before: np.ndarray) -> np.ndarray:
     return np.floor(np.log(words_before + 1.0) / np.log(1 / SIMILARITY)).astype(np.int64)
 
 
-def anchors_of(hashes: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least shingles of the windows of a text, with their places; a window at the start may be shorter."""
-    first = np.minimum.accumulate(hashes[: ANCHOR_WINDOW - 1])
-    low = np.unique(np.r_[first, window_minima(hashes, ANCHOR_WINDOW)])
-    at = np.flatnonzero(np.isin(hashes, low))
-    return hashes[at].view(np.int64), at
+def anchors_of(hashes: list[np.ndarray]) -> list[np.ndarray]:
+    """Places in each text of the shingles that are the least of a window; windows at either end may be shorter."""
+    most = np.iinfo(np.uint64).max
+    gap = np.full(ANCHOR_WINDOW - 1, most, np.uint64)
+    flat = np.concatenate([gap, *(x for h in hashes for x in (h, gap))])
+    low = window_minima(flat, ANCHOR_WINDOW)
+    least = np.zeros(len(flat), bool)
+    for k in range(ANCHOR_WINDOW):
+        least[k : k + len(low)] |= low == flat[k : k + len(low)]
+    out, begin = [], len(gap)
+    for h in hashes:
+        out.append(np.flatnonzero(least[begin : begin + len(h)]))
+        begin += len(h) + len(gap)
+    return out
+
+
+def tail_anchor(text: str, hashes: np.ndarray, n_words: int) -> tuple[int, int, int] | None:
+    """The anchor of a text's end, how many words stand before it, and how many behind it without a sign of omission."""
+    if not may_go_on(text):
+        return None
+    body = text.rstrip()
+    sign = sign_at(body)
+    n = n_words - (len(plain_words(body[sign:])) if sign < len(body) else 0)
+    # the last word may be cut, so the anchor stands before it
+    last = hashes[max(0, n - SHINGLE - ANCHOR_WINDOW) : max(0, n - SHINGLE)]
+    if not len(last):
+        return None
+    i = max(0, n - SHINGLE - ANCHOR_WINDOW) + int(np.argmin(last))
+    return int(hashes[i : i + 1].view(np.int64)[0]), i, n - i - SHINGLE
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes = WordCodes()
-    held: list[tuple] = []
-    n = 0
 
-    def out() -> pa.RecordBatch:
-        lists = lambda i: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(h[i]) for h in held])].astype(np.int32)), pa.array(np.concatenate([np.asarray(h[i], np.int64) for h in held]) if held else np.zeros(0, np.int64)))
-        scalars = [pa.array([h[i] for h in held], pa.int64()) for i in (0, 4, 5, 6, 7)]
-        return pa.RecordBatch.from_arrays([scalars[0], lists(1), lists(2), lists(3), *scalars[1:]], names=["id", "anchors", "places", "behind", "tail", "tail_place", "tail_behind", "last"])
+    def lists(of: list[np.ndarray]) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in of])].astype(np.int32)), pa.array(np.concatenate(of)))
 
     for batch in batches:
-        for of, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = text.as_py()
-            w = codes(plain_words(text))
-            h = shingle_hashes(w, SHINGLE)
-            if not len(h):
+        for ids, texts, hashes, of_words in _hashed(batch, codes):
+            at = [i for i, h in enumerate(hashes) if len(h)]
+            if not at:
                 continue
-            anchors, at = anchors_of(h, len(w))
-            tail = place = behind = None
-            body = text.rstrip()
-            own = codes(plain_words(body[: sign_at(body)])) if may_go_on(text) else w[:0]
-            if len(own) > SHINGLE:
-                # the last word may be cut, so the anchor stands before it
-                last = shingle_hashes(own[max(0, len(own) - SHINGLE - ANCHOR_WINDOW) : -1], SHINGLE)
-                i = int(np.argmin(last))
-                tail = int(last[i : i + 1].view(np.int64)[0])
-                i += len(own) - SHINGLE - len(last)
-                place, behind = int(_place(np.array([i]))[0]), len(own) - i - SHINGLE
-            held.append((of, anchors, _place(at), len(w) - at - SHINGLE, tail, place, behind, int(w[-1:].view(np.int64)[0])))
-            n += len(anchors)
-            if n >= _ANCHORS_AT_ONCE:
-                yield out()
-                held, n = [], 0
-    yield out()
+            ids, texts, hashes, of_words = ([x[i] for i in at] for x in (ids, texts, hashes, of_words))
+            places = anchors_of(hashes)
+            tails_ = [tail_anchor(t, h, len(w)) for t, h, w in zip(texts, hashes, of_words, strict=True)]
+            column = lambda k: pa.array([t and t[k] for t in tails_], pa.int64())  # noqa: E731, B023
+            before = np.array([t[1] if t else 0 for t in tails_])
+            columns = [
+                pa.array(ids, pa.int64()),
+                lists([h[p].view(np.int64) for h, p in zip(hashes, places, strict=True)]),
+                lists([_place(p) for p in places]),
+                lists([len(w) - p - SHINGLE for w, p in zip(of_words, places, strict=True)]),
+                column(0),
+                pa.array(_place(before)),
+                column(2),
+                pa.array([int(w[-1:].view(np.int64)[0]) for w in of_words], pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "anchors", "places", "behind", "tail", "tail_place", "tail_behind", "last"])
 
 
 _ANCHORED = "id long, anchors array<long>, places array<long>, behind array<long>, tail long, tail_place long, tail_behind long, last long"
