@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from strandframe.config import load_config
 from strandframe.operators import coaccess
 from strandframe.operators.intervals import contained_pairs
-from strandframe.session import local_session, ship_package
+from strandframe.session import local_session, ship_modules
 from strandframe.sources import export, text
 from strandframe.sources.normalize import all_to_modkit, nucleosome_csv_rows, raw_file
 from strandframe.sources.rawlines import load_raw_lines
@@ -21,12 +22,14 @@ from strandframe.sources.store import Store, build_store
 
 def _session() -> SparkSession:
     spark = SparkSession.getActiveSession() or local_session()
-    ship_package(spark)
+    ship_modules(spark)
     return spark
 
 
 def _build(a: argparse.Namespace) -> None:
-    print(build_store(_session(), load_config(a.config), a.sample or None))
+    plan = load_config(a.config)
+    given = {"store": a.output and Path(a.output), "threshold": a.methylation_threshold, "min_msp": a.min_msp_size}
+    print(build_store(_session(), replace(plan, **{k: v for k, v in given.items() if v is not None}), a.sample or None))
 
 
 def _info(a: argparse.Namespace) -> None:
@@ -107,6 +110,9 @@ def parser() -> argparse.ArgumentParser:
     c = command("build", _build)
     c.add_argument("--config", required=True)
     c.add_argument("--sample", action="append")
+    c.add_argument("--output", help="store to write, instead of the configured one")
+    c.add_argument("--methylation-threshold", type=float)
+    c.add_argument("--min-msp-size", type=int)
     c = command("info", _info)
     c.add_argument("store")
     c = command("query", _query)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from strandframe.operators.annotate import sane_fibers
 from strandframe.operators.intervals import Overlap, range_join
+from strandframe.operators.ordering import numbered_within, running_total
+from strandframe.session import broadcast_if_small
 
 
 def fibers_at(fibers: DataFrame, chrom: str, start: int, end: int, sample: str | None = None) -> DataFrame:
@@ -48,16 +50,17 @@ def fiber_lookup(fibers: DataFrame) -> DataFrame:
 
 def fiber_int_ids(rows: DataFrame) -> DataFrame:
     """Dense numbers of read ids within sample and chromosome, in order of the id as text."""
-    w = Window.partitionBy("sample", "chrom").orderBy("fiber_id")
-    return rows.select("sample", "chrom", "fiber_id").distinct().withColumn("fiber_int_id", F.row_number().over(w).cast("long") - 1)
+    return numbered_within(rows.select("sample", "chrom", "fiber_id").distinct(), ["sample", "chrom"], ["fiber_id"], "fiber_int_id")
 
 
 def layer_slices(layer: DataFrame) -> DataFrame:
     """Row range of each fiber in the stored order of its sample and chromosome: start_row, end_row."""
     per = layer.groupBy("sample", "chrom", "fiber_int_id").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("sample", "chrom").orderBy("fiber_int_id").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum("n").over(w)
-    return per.select("sample", "chrom", "fiber_int_id", (upto - F.col("n")).alias("start_row"), upto.alias("end_row"))
+    whole = running_total(per, ["sample", "chrom", "fiber_int_id"], "n", "upto")
+    begins = whole.groupBy(F.col("sample").alias("_s"), F.col("chrom").alias("_c")).agg(F.min(F.col("upto") - F.col("n")).alias("begin"))
+    placed = whole.join(broadcast_if_small(begins, ["_s", "_c"]), F.col("sample").eqNullSafe(F.col("_s")) & F.col("chrom").eqNullSafe(F.col("_c")))
+    end = F.col("upto") - F.col("begin")
+    return placed.select("sample", "chrom", "fiber_int_id", (end - F.col("n")).alias("start_row"), end.alias("end_row"))
 
 
 def chromosomes(fibers: DataFrame) -> DataFrame:

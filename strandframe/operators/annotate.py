@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandframe.operators.intervals import Overlap, range_join
 from strandframe.schemas import LAYERS, MAX_FIBER_SPAN
+from strandframe.session import broadcast_if_small, checkpointed
 
 DEFAULT_LAYERS = ("nucleosomes", "5mC")
 _KEYS = ["sample", "chrom", "fiber_int_id"]
@@ -92,13 +93,16 @@ def summarise(regions: DataFrame, fibers: DataFrame, layers: dict[str, DataFrame
     isn't stored at all for a sample and chromosome are null. Unknown layer names are ignored, as are layers without a table.
     """
     names = [n for n in feature_types if n in layers and n in LAYERS]
-    cand = fibers_of_regions(regions, fibers, overlap)
+    # the candidates are read three times: kept, they also let each layer be cut to their fibers before it is shuffled
+    cand = checkpointed(fibers_of_regions(regions, fibers, overlap))
     group = ["ord", "annotation", "id", "chrom", "rs", "re", "sample", "fiber_int_id", "fiber_id"]
     if not names:
         return cand.select(*group)
     rows = layer_rows(layers, names)
     on = [F.col(k) == F.col(f"l_{k}") for k in _KEYS] + [_meets()]
-    out = cand.join(rows, on, "left").groupBy(*group).agg(*_metrics(names))
+    wanted = broadcast_if_small(cand.select(*[F.col(k).alias(f"w_{k}") for k in _KEYS]).distinct(), [f"w_{k}" for k in _KEYS[:2]])
+    near = rows.join(wanted, [F.col(f"l_{k}") == F.col(f"w_{k}") for k in _KEYS], "left_semi")
+    out = cand.join(near, on, "left").groupBy(*group).agg(*_metrics(names))
     if "nucleosomes" in names:
         out = out.withColumn("mean_repeat_length", F.col("mean_nuc_width") + F.col("mean_linker"))
     if missing_as_null:
@@ -112,6 +116,11 @@ def summarise(regions: DataFrame, fibers: DataFrame, layers: dict[str, DataFrame
     return out
 
 
+def of_sample(sample: str, fibers: DataFrame, layers: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Fibers and layers of one sample, as a filter that reaches the scan (and prunes a store's partitions)."""
+    return fibers.where(F.col("sample") == sample), {n: x.where(F.col("sample") == sample) for n, x in layers.items()}
+
+
 def query_annotation(regions: DataFrame, fibers: DataFrame, layers: dict[str, DataFrame], annotation: str | None, sample: str | None, feature_types: list[str] | None = None, max_regions: int | None = None) -> DataFrame:
     """Summaries of the regions of a type (null: all types) in a sample (null: all samples).
 
@@ -123,7 +132,7 @@ def query_annotation(regions: DataFrame, fibers: DataFrame, layers: dict[str, Da
     if max_regions:
         regions = regions.orderBy("ord").limit(max_regions)
     if sample is not None:
-        fibers = fibers.where(F.col("sample") == sample)
+        fibers, layers = of_sample(sample, fibers, layers)
     out = summarise(regions, fibers, layers, list(feature_types or DEFAULT_LAYERS))
     return out.withColumn("region_id", region_name("chrom", "rs", "re")).drop("id", "rs", "re", "chrom", "fiber_int_id")
 
@@ -135,7 +144,7 @@ def query_by_id(regions: DataFrame, fibers: DataFrame, layers: dict[str, DataFra
     """
     kind, _, _ = region_id.rpartition("_")
     one = regions.where((F.col("id") == region_id) & (F.col("annotation") == (kind or region_id))).orderBy("ord").limit(1)
-    out = summarise(one, fibers.where(F.col("sample") == sample), layers, list(feature_types or LAYERS), Overlap.STRICT, missing_as_null=False)
+    out = summarise(one, *of_sample(sample, fibers, layers), list(feature_types or LAYERS), Overlap.STRICT, missing_as_null=False)
     drop = ["mean_linker", "mean_repeat_length", "n_5hmC", "pct_hydroxymethylated", "mean_msp_width", "fire_overlap_bp", "annotation", "ord", "chrom", "rs", "re", "fiber_int_id"]
     return out.drop(*drop).withColumnRenamed("id", "region_id")
 

@@ -6,9 +6,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandframe.operators.ordering import running_total
+
 TOP_K = (10, 50, 100, 500, 1000, 5000, 10_000, 50_000)
 
 
@@ -41,8 +43,7 @@ def pearson(x: Column, y: Column) -> Column:
 def average_ranks(rows: DataFrame, value: str, out: str) -> DataFrame:
     """Rows with the mean rank of equal values: values are counted, and only the distinct ones are put in order."""
     per = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    ranks = per.select("_v", (upto - (F.col("_n") - 1) / 2.0).alias(out))
+    ranks = running_total(per, ["_v"], "_n", "_upto").select("_v", (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(out))
     return rows.join(ranks, F.col(value) == F.col("_v"), "left").drop("_v")
 
 

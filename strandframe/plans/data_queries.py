@@ -9,7 +9,9 @@ from strandframe.functions.quantities import fractions, recorded_units
 from strandframe.operators.orphans import orphan_references, reference_key
 from strandframe.operators.periods import merged_periods
 from strandframe.session import table
+from strandframe.sources.normalize import all_to_modkit, flatten_blocks
 from strandframe.sources.rawlines import load_raw_lines
+from strandframe.sources.text import inner_blocks
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,6 +32,26 @@ def _recorded(spark: SparkSession, d: str) -> DataFrame:
     return recorded_units(table(spark, d, "m5c"), table(spark, d, "all_records"), table(spark, d, "runs"))
 
 
+def _loaded_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return load_raw_lines(table(spark, d, "raw_lines")).where("reason is null and fmt = 'block_bed'").withColumnRenamed("name", "fiber_id")
+
+
+def flatten_linkers(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of valid block BED records as rows with the gap to the block before."""
+    return flatten_blocks(_loaded_blocks(spark, d), "rec_id")
+
+
+def bed12_blocks_expand(spark: SparkSession, d: str) -> DataFrame:
+    """Inner blocks of at least ten bases of valid block BED records."""
+    rows = _loaded_blocks(spark, d).select("rec_id", "chrom", "fiber_id", F.col("start").alias("first"), "sizes", F.col("starts").alias("offsets"))
+    return inner_blocks(rows, 10)
+
+
+def all_tsv_explode(spark: SparkSession, d: str) -> DataFrame:
+    """5mC calls of valid "all" records in the columns of the call table."""
+    return all_to_modkit(load_raw_lines(table(spark, d, "raw_lines")))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return _recorded(spark, d).where("unit <> own").select("src_table", "row_id", "field", "unit").distinct()
 
@@ -68,7 +90,7 @@ def p6_per_month(spark: SparkSession, d: str) -> DataFrame:
     return _orphans(spark, d).groupBy("ref_table", "ref_month", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_loaded_blocks, p2_found, p2_mean_fraction, p4_found, p6_found, p6_per_month)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_loaded_blocks, flatten_linkers, bed12_blocks_expand, all_tsv_explode, p2_found, p2_mean_fraction, p4_found, p6_found, p6_per_month)}
 
 _FIELD = r"""("([^"]|"")*"|[^"\t][^\t]*|)"""
 _FIELDS = r"""[case when x like '"%' then replace(x[2:len(x) - 1], '""', '"') else x end for x in regexp_extract_all(L || chr(9), '("(?:[^"]|"")*"|[^\t]*)\t', 1)]"""
@@ -216,6 +238,15 @@ ORACLES = {
     "p1_reasons": _REASONS,
     "p1_loaded_blocks": _LINES
     + """select rec_id, c[1] chrom, c[2]::bigint as start, c[3]::bigint as "end", c[4] "name", c[6] strand, len(sz) n_blocks, list_sum(sz)::bigint block_bp from bed_ok where ok""",
+    "flatten_linkers": _LINES
+    + """, b as (select rec_id, c[1] chrom, c[4] fiber_id, c[2]::bigint s0, unnest(sz) w, unnest(st) o, generate_subscripts(sz, 1) i from (select b.*, bed.st from bed_ok b join bed using (rec_id) where ok))
+select rec_id, chrom, fiber_id, s0 + o as start, s0 + o + w as "end", w width, o - lag(o + w) over (partition by rec_id order by i) linker from b where w <> 0""",
+    "bed12_blocks_expand": _LINES
+    + """, b as (select rec_id, c[1] chrom, c[4] fiber_id, c[2]::bigint s0, unnest(sz[2:len(sz) - 1]) w, unnest(st[2:len(st) - 1]) o from (select b.*, bed.st from bed_ok b join bed using (rec_id) where ok))
+select rec_id, chrom, fiber_id, s0 + o as start, s0 + o + w as "end", w width from b where w >= 10""",
+    "all_tsv_explode": _LINES
+    + """, v as (select c_fiber, c_ct, unnest(string_split(c_ref_5mC, ',')) p, unnest(string_split(c_5mC_qual, ',')) q from all_ok join cells using (rec_id) where ok)
+select c_fiber read_id, p::bigint ref_position, c_ct chrom, printf('%.6f', q::double / 255.0) prob, 'm' code from v where try_cast(p as bigint) >= 0 and try_cast(q as bigint) is not null""",
     "p2_found": _UNITS + "select distinct src_table, row_id, field, unit from units where unit <> own",
     "p2_mean_fraction": _UNITS
     + r""", vals as (

@@ -136,15 +136,14 @@ def compare_samples(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     with_("nuc", "mspl", "span", "fib", "sane", "reg")
-    + """, cand as (select ord, id, reg.chrom, rs, re, sample, fiber_int_id, fiber_id from sane join reg on reg.chrom = sane.chrom and fe > rs and fs < re where id = 'Stitched_1' and sample = (select min(sample) from fib)),
+    + """, cand as (select ord, id, reg.chrom, rs, re, sample, fiber_int_id, fiber_id from sane join reg on reg.chrom = sane.chrom and fe > rs and fs < re where id = 'Stitched_12' and sample = 'd0'),
 n as (select sample, fiber_int_id, count(n.s) n_nucleosomes, avg(n.w) mean_nuc_width from cand c left join nuc n using (sample, chrom, fiber_int_id) where n.s is null or (n.s >= rs and n.e <= re) group by 1, 2),
 s as (select sample, fiber_int_id, count(m.s) n_msp from cand c join mspl m using (sample, chrom, fiber_int_id) where m.s >= rs and m.e <= re group by 1, 2)
 select id region_id, c.sample, fiber_id, coalesce(n_nucleosomes, 0) n_nucleosomes, round(mean_nuc_width, 5) mean_nuc_width, coalesce(n_msp, 0) n_msp from cand c left join n using (sample, fiber_int_id) left join s using (sample, fiber_int_id)"""
 )
 def query_one_region(spark: SparkSession, d: str) -> DataFrame:
     f = t.fibers(spark, d)
-    first = f.agg(F.min("sample")).first()[0]
-    out = annotate.query_by_id(t.annotations(spark, d), f, t.layers(spark, d), "Stitched_1", first, ["nucleosomes", "msp"])
+    out = annotate.query_by_id(t.annotations(spark, d), f, t.layers(spark, d), "Stitched_12", "d0", ["nucleosomes", "msp"])
     return _rounded(out, "mean_nuc_width")
 
 
@@ -233,7 +232,7 @@ def trimmed_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 _GROWN = ", grown as (select chrom, case when strand = '+' then greatest(s - 500, 0) else s end s, case when strand = '-' then e + 500 else e end e from gene)"
-_KEPT = ", kept as (select * from peak p where s >= 0 and e <= 10000000 and e > s and p.chrom in ('chr1', 'chr2', 'chr3', 'chr4', 'chr5', 'chr6') and not exists (select 1 from grown g where g.chrom = p.chrom and g.e > p.s and g.s < p.e))"
+_KEPT = ", kept as (select p.* from peak p join csize on csize.chrom = p.chrom where s >= 0 and e <= size and e > s and not exists (select 1 from grown g where g.chrom = p.chrom and g.e > p.s and g.s < p.e))"
 _ISLANDS = """, r as (select *, max(e) over (partition by chrom order by s, e rows between unbounded preceding and 1 preceding) reach from kept),
 b as (select *, case when reach is null or s - reach > 12500 or exists (select 1 from gene g where g.chrom = r.chrom and g.s < r.s and g.e > r.reach) then 1 else 0 end opens from r),
 i as (select *, sum(opens) over (partition by chrom order by s, e rows unbounded preceding) island from b),
@@ -245,19 +244,19 @@ def gene_blocks(spark: SparkSession, d: str) -> DataFrame:
     return coaccess.expand_genes(t.genes(spark, d), coaccess.PROMOTER_BP)
 
 
-@query(with_("peak", "gene") + _GROWN + _KEPT + " select chrom, s as start, e as \"end\" from kept")
+@query(with_("peak", "size", "gene") + _GROWN + _KEPT + " select chrom, s as start, e as \"end\" from kept")
 def intergenic_peaks(spark: SparkSession, d: str) -> DataFrame:
-    return coaccess.intergenic_peaks(t.peaks(spark, d), coaccess.expand_genes(t.genes(spark, d), coaccess.PROMOTER_BP), t.chrom_sizes(spark))
+    return coaccess.intergenic_peaks(t.peaks(spark, d), coaccess.expand_genes(t.genes(spark, d), coaccess.PROMOTER_BP), t.chrom_sizes(spark, d))
 
 
-@query(with_("peak", "gene") + _GROWN + _KEPT + _ISLANDS + " select chrom, s as start, e as \"end\" from st")
+@query(with_("peak", "size", "gene") + _GROWN + _KEPT + _ISLANDS + " select chrom, s as start, e as \"end\" from st")
 def stitched_regions(spark: SparkSession, d: str) -> DataFrame:
-    return coaccess.prepare_regions(t.peaks(spark, d), t.genes(spark, d), t.chrom_sizes(spark))[1]
+    return coaccess.prepare_regions(t.peaks(spark, d), t.genes(spark, d), t.chrom_sizes(spark, d))[1]
 
 
-@query(with_("peak", "gene") + _GROWN + _KEPT + _ISLANDS + " select p.chrom, p.s es, p.e ee, st.s ss, st.e se from peak p join st on st.chrom = p.chrom and p.s >= st.s and p.e <= st.e and st.e > p.s")
+@query(with_("peak", "size", "gene") + _GROWN + _KEPT + _ISLANDS + " select p.chrom, p.s es, p.e ee, st.s ss, st.e se from peak p join st on st.chrom = p.chrom and p.s >= st.s and p.e <= st.e and st.e > p.s")
 def contained_pairs(spark: SparkSession, d: str) -> DataFrame:
-    _, stitched = coaccess.prepare_regions(t.peaks(spark, d), t.genes(spark, d), t.chrom_sizes(spark))
+    _, stitched = coaccess.prepare_regions(t.peaks(spark, d), t.genes(spark, d), t.chrom_sizes(spark, d))
     return intervals.contained_pairs(stitched, t.peaks(spark, d))
 
 
@@ -318,11 +317,11 @@ def coaccess_cluster_best(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     _PAIRS
-    + """, o as (select *, (row_number() over (order by distance_bp, stitched_id, element_a, element_b) - 1) // 500 chunk from sc where distance_bp > 0 and score > 0)
-select chunk::bigint chunk, round(median(distance_bp), 6) distance, round(median(score), 6) score from o group by 1 having count(*) = 500"""
+    + """, o as (select *, (row_number() over (order by distance_bp, stitched_id, element_a, element_b) - 1) // 100 chunk from sc where distance_bp > 0 and score > 0)
+select chunk::bigint chunk, round(median(distance_bp), 6) distance, round(median(score), 6) score from o group by 1 having count(*) = 100"""
 )
 def coaccess_distance_bins(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(coaccess.distance_chunks(coaccess.pair_scores(table(spark, d, "cov_bed"))), "distance", "score", digits=6)
+    return _rounded(coaccess.distance_chunks(coaccess.pair_scores(table(spark, d, "cov_bed")), rows=100), "distance", "score", digits=6)
 
 
 @query()

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from strandframe.session import table
 
-CHROM_SIZE = 10_000_000
-
 
 def spans(spark: SparkSession, d: str, name: str, order: str, linker: bool) -> DataFrame:
     t = table(spark, d, name).where("starts is not null and ends is not null and ends > starts")
@@ -76,8 +74,11 @@ def genes(spark: SparkSession, d: str) -> DataFrame:
     ).where("s_suppkey % 7 <> 0")
 
 
-def chrom_sizes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f"chr{i}", CHROM_SIZE) for i in range(1, 7)], "chrom string, size long")
+def chrom_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Each chromosome with the last end that an element or a region has on it."""
+    c = table(spark, d, "cov_bed")
+    ends = c.select(F.col("el_chrom").alias("chrom"), F.col("el_end").alias("e")).unionByName(c.select(F.col("st_chrom").alias("chrom"), F.col("st_end").alias("e")))
+    return ends.where("chrom is not null").groupBy("chrom").agg(F.max("e").alias("size"))
 
 
 CTES = {
@@ -93,6 +94,7 @@ CTES = {
 reg as (select annotation, chrom, rs, re, annotation || '_' || k id, 2 * k + case annotation when 'Element' then 1 else 0 end ord
   from (select *, row_number() over (partition by annotation order by chrom, rs, re) k from ann where chrom is not null and rs is not null and re is not null))""",
     "peak": "peak as (select distinct el_chrom chrom, el_start s, el_end e from cov_bed)",
+    "size": "csize as (select chrom, max(e) size from (select el_chrom chrom, el_end e from cov_bed union all select st_chrom, st_end from cov_bed) where chrom is not null group by 1)",
     "gene": "gene as (select 'chr' || (s_suppkey % 6 + 1) chrom, (s_suppkey * 150131) % 9000000 s, (s_suppkey * 150131) % 9000000 + 1200 e, case when s_nationkey % 2 = 0 then '+' else '-' end strand from supplier where s_suppkey % 7 <> 0)",
 }
 

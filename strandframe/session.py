@@ -24,6 +24,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -31,8 +32,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Give the workers this package, so that a cluster needs no installation of it. Done once a context."""
+def ship_modules(spark: SparkSession) -> None:
+    """Give the workers these modules, so that a cluster needs no installation of them. Done once a context."""
     sc = spark.sparkContext
     if getattr(sc, "_strandframe_shipped", False):
         return
@@ -52,13 +53,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
-    The folder is the shared one the session names in ``spark.checkpoint.dir``. Only where
-    nothing is set (tests on one machine) a temporary folder is used.
+    The folder is the shared one the session names in ``spark.checkpoint.dir``. Only where nothing is set and all runs on one
+    machine (tests) a temporary folder is used; on a cluster that is an error, as executors would not share it.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "strandframe-checkpoints"))
     return df.checkpoint(eager=True)
 

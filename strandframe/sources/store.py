@@ -6,69 +6,65 @@ import datetime
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.config import Config, SampleConfig
+from strandframe.config import BuildPlan
 from strandframe.operators import access, annotate, features
+from strandframe.operators.ordering import numbered_within
 from strandframe.schemas import LAYERS, SCHEMA_VERSION, layer
 from strandframe.sources import text
 
 PARTITIONS = ["sample", "chrom"]
 
 
-def missing_inputs(config: Config, samples: list[SampleConfig]) -> list[str]:
-    """All files that are named and not there."""
-    paths = [p for s in samples for p in s.layers.values()] + list(config.annotations.values())
-    return [str(p) for p in paths if not Path(p).exists()]
-
-
 def _universe(nucleosomes: DataFrame) -> DataFrame:
     """Fibers with their span and a dense number in order of the read id, per chromosome."""
     spans = nucleosomes.groupBy("chrom", "fiber_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    w = Window.partitionBy("chrom").orderBy("fiber_id")
-    return spans.withColumn("fiber_int_id", F.row_number().over(w).cast("long") - 1)
+    return numbered_within(spans, ["chrom"], ["fiber_id"], "fiber_int_id")
 
 
-def _layer_inputs(spark: SparkSession, s: SampleConfig, config: Config) -> dict[str, DataFrame]:
-    out = {"nucleosomes": text.nucleosome_csv(spark, s.layers["nucleosomes"])}
-    threshold = F.lit(config.parameters.methylation_threshold).cast("float")
+def _layer_inputs(spark: SparkSession, files: dict[str, Path], plan: BuildPlan) -> dict[str, DataFrame]:
+    out = {"nucleosomes": text.nucleosome_csv(spark, files["nucleosomes"])}
+    threshold = F.lit(plan.threshold).cast("float")
     tables: dict[Path, DataFrame] = {}
     for name, code in (("5mC", "m"), ("5hmC", "h")):
-        if name in s.layers:
-            if s.layers[name] not in tables:
-                tables[s.layers[name]] = text.modkit_tsv(spark, s.layers[name])
-            rows = tables[s.layers[name]].where(F.col("code") == code)
+        if name in files:
+            if files[name] not in tables:
+                tables[files[name]] = text.modkit_tsv(spark, files[name])
+            rows = tables[files[name]].where(F.col("code") == code)
             # the threshold is compared as a float, as the probabilities are
             out[name] = rows.select("chrom", "fiber_id", "pos", "prob", (F.col("prob") >= threshold).alias("is_methylated"), "ord")
-    if "6mA" in s.layers:
-        out["6mA"] = text.bed12_single_base(spark, s.layers["6mA"])
-    if "msp" in s.layers:
-        out["msp"] = text.bed12_intervals(spark, s.layers["msp"], config.parameters.min_msp_size)
-    if "fire_accessibility" in s.layers:
-        out["fire_accessibility"] = text.fire_bed(spark, s.layers["fire_accessibility"])
+    if "6mA" in files:
+        out["6mA"] = text.bed12_single_base(spark, files["6mA"])
+    if "msp" in files:
+        out["msp"] = text.bed12_intervals(spark, files["msp"], plan.min_msp)
+    if "fire_accessibility" in files:
+        out["fire_accessibility"] = text.fire_bed(spark, files["fire_accessibility"])
     return out
 
 
-def build_store(spark: SparkSession, config: Config, samples: list[str] | None = None) -> Path:
+def build_store(spark: SparkSession, plan: BuildPlan, samples: list[str] | None = None) -> Path:
     """Build the store of a configuration, replacing what is there; returns its folder.
 
     Calls on fibers without nucleosomes are left out. Each table is sorted by fiber within its partition, so that a look-up reads
     few row groups. All missing inputs are named in one error, an unknown sample raises KeyError.
     """
-    chosen = [config.get_sample(n) for n in samples] if samples else config.samples
-    if missing := missing_inputs(config, chosen):
+    plan = plan.only(samples)
+    if missing := plan.absent_files():
         raise FileNotFoundError("missing inputs: " + ", ".join(missing))
-    root = config.output_path
-    meta: dict[str, object] = {"schema_version": SCHEMA_VERSION, "genome_version": "unknown", "created": datetime.datetime.now(datetime.UTC).isoformat(), "samples": [s.name for s in chosen]}
-    meta |= {"methylation_threshold": config.parameters.methylation_threshold, "min_msp_size": config.parameters.min_msp_size, "max_fiber_span": 100_000}
-    for k, s in enumerate(chosen):
+    root = plan.store
+    meta: dict[str, object] = {"schema_version": SCHEMA_VERSION, "genome_version": "unknown", "created": datetime.datetime.now(datetime.UTC).isoformat(), "samples": list(plan.layers)}
+    meta |= {"methylation_threshold": plan.threshold, "min_msp_size": plan.min_msp, "max_fiber_span": 100_000}
+    meta |= {"coordinate_system": "0-based half-open", "id_encoding": "dense number in order of the read id, per sample and chromosome"}
+    meta["layer_sources"] = {s: {layer_: str(p) for layer_, p in files.items()} for s, files in plan.layers.items()}
+    for k, (sample, files) in enumerate(plan.layers.items()):
         mode = "append" if k else "overwrite"
-        inputs = _layer_inputs(spark, s, config)
-        fibers = _universe(inputs["nucleosomes"]).withColumn("sample", F.lit(s.name)).select("sample", "chrom", "fiber_int_id", "fiber_id", "start", "end")
+        inputs = _layer_inputs(spark, files, plan)
+        fibers = _universe(inputs["nucleosomes"]).withColumn("sample", F.lit(sample)).select("sample", "chrom", "fiber_int_id", "fiber_id", "start", "end")
         _write(fibers, root / "fibers", ["fiber_int_id"], mode)
-        stored = spark.read.parquet(str(root / "fibers")).where(F.col("sample") == s.name).select("chrom", "fiber_id", "fiber_int_id")
-        meta[f"n_fibers_{s.name}"] = stored.count()
+        stored = spark.read.parquet(str(root / "fibers")).where(F.col("sample") == sample).select("chrom", "fiber_id", "fiber_int_id")
+        meta[f"n_fibers_{sample}"] = stored.count()
         for name in LAYERS:
             rows = inputs.get(name)
             path = root / layer(name).table
@@ -76,10 +72,10 @@ def build_store(spark: SparkSession, config: Config, samples: list[str] | None =
                 if not k and path.exists():
                     _remove(path)
                 continue
-            numbered = rows.join(stored, ["chrom", "fiber_id"]).drop("fiber_id").withColumn("sample", F.lit(s.name))
+            numbered = rows.join(stored, ["chrom", "fiber_id"]).drop("fiber_id").withColumn("sample", F.lit(sample))
             _write(numbered, path, ["fiber_int_id", "ord"], mode if not k or path.exists() else "overwrite")
-    if "master" in config.annotations:
-        text.annotation_bed(spark, config.annotations["master"]).orderBy("ord").write.mode("overwrite").parquet(str(root / "annotations"))
+    if "master" in plan.annotations:
+        text.annotation_bed(spark, plan.annotations["master"]).orderBy("ord").write.mode("overwrite").parquet(str(root / "annotations"))
     elif (root / "annotations").exists():
         _remove(root / "annotations")
     (root / "metadata.json").write_text(json.dumps(meta, indent=2))
@@ -87,7 +83,8 @@ def build_store(spark: SparkSession, config: Config, samples: list[str] | None =
 
 
 def _write(rows: DataFrame, path: Path, order: list[str], mode: str) -> None:
-    rows.repartition(*PARTITIONS).sortWithinPartitions(*PARTITIONS, *order).write.mode(mode).partitionBy(*PARTITIONS).option("compression", "zstd").parquet(str(path))
+    # a chromosome that holds much is written by several tasks, each a range of its fibers
+    rows.repartitionByRange(*PARTITIONS, order[0]).sortWithinPartitions(*PARTITIONS, *order).write.mode(mode).partitionBy(*PARTITIONS).option("compression", "zstd").parquet(str(path))
 
 
 def _remove(path: Path) -> None:

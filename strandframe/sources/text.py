@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.schemas import MISSING_LINKER
+from strandframe.session import broadcast_if_small
 
 _GZIP = b"\x1f\x8b"
 
@@ -99,12 +100,18 @@ def bed12_single_base(spark: SparkSession, path: str | Path) -> DataFrame:
     return _blocks(spark, path).select("chrom", "fiber_id", "ord", "first", F.explode(inner).alias("o")).where("o is not null").select("chrom", "fiber_id", (F.col("first") + F.col("o")).alias("pos"), "ord")
 
 
-def bed12_intervals(spark: SparkSession, path: str | Path, min_size: int = 0) -> DataFrame:
-    """chrom, fiber_id, start, end, width of the inner blocks of at least ``min_size`` bases."""
+def inner_blocks(rows: DataFrame, min_size: int = 0) -> DataFrame:
+    """start, end and width of the blocks but the first and last of each row's ``sizes`` and ``offsets`` from ``first``; its other columns stay."""
     inner = F.slice(F.arrays_zip("sizes", "offsets"), 2, F.greatest(F.least(F.size("sizes"), F.size("offsets")) - 2, F.lit(0)))
-    rows = _blocks(spark, path).select("chrom", "fiber_id", "ord", "first", F.inline(inner)).where(F.col("sizes") >= min_size)
+    others = [c for c in rows.columns if c not in ("sizes", "offsets", "first")]
+    out = rows.select(*others, "first", F.inline(inner)).where((F.col("sizes") >= min_size) & F.col("offsets").isNotNull())
     start = F.col("first") + F.col("offsets")
-    return rows.where("offsets is not null").select("chrom", "fiber_id", start.alias("start"), (start + F.col("sizes")).alias("end"), F.col("sizes").alias("width"), "ord")
+    return out.select(*others, start.alias("start"), (start + F.col("sizes")).alias("end"), F.col("sizes").alias("width"))
+
+
+def bed12_intervals(spark: SparkSession, path: str | Path, min_size: int = 0) -> DataFrame:
+    """chrom, fiber_id, start, end, width of the inner blocks of at least ``min_size`` bases."""
+    return inner_blocks(_blocks(spark, path), min_size).select("chrom", "fiber_id", "start", "end", "width", "ord")
 
 
 def fire_bed(spark: SparkSession, path: str | Path) -> DataFrame:
@@ -166,7 +173,7 @@ def gff_genes(spark: SparkSession, path: str | Path, sizes: DataFrame, one_based
     ``one_based`` false the start is taken as it stands (the legacy mode).
     """
     rows = _tabs(read_lines(spark, path).where("not startswith(value, '#')")).where((F.size("c") == 9) & (_at(2) == "gene"))
-    rows = rows.select(_at(0).alias("chrom"), _long(_at(3)).alias("a"), _long(_at(4)).alias("b"), _at(6).alias("strand"), gff_attributes(_at(8)).alias("m")).join(F.broadcast(sizes.limit(1_000_000)), "chrom")
+    rows = rows.select(_at(0).alias("chrom"), _long(_at(3)).alias("a"), _long(_at(4)).alias("b"), _at(6).alias("strand"), gff_attributes(_at(8)).alias("m")).join(broadcast_if_small(sizes, ["chrom"]), "chrom")
     kind = F.coalesce(F.col("m")["gene_type"], F.col("m")["gene_biotype"], F.lit(""))
     rows = rows.withColumn("gene_type", kind).withColumn("gene_name", F.col("m")["gene_name"]).where((F.col("gene_type") != "lncRNA") & ~F.lower("gene_type").endswith("pseudogene"))
     start = F.greatest(F.col("a") - (1 if one_based else 0), F.lit(0))

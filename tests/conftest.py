@@ -9,13 +9,13 @@ os.environ.setdefault("TZ", "UTC")
 
 import pytest  # noqa: E402
 
-from strandframe.session import local_session, ship_package  # noqa: E402
+from strandframe.session import local_session, ship_modules  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(4, shuffle_partitions=4, memory="4g")
-    ship_package(session)
+    ship_modules(session)
     yield session
     session.stop()
 

@@ -115,7 +115,17 @@ def test_elbow():
 def test_distance_fit_and_correction(spark):
     d = np.array([100.0, 300, 1000, 3000, 10_000])
     a, b, c = coaccess.fit_power_law(d, 50 / d**0.5 + 0.2)
-    assert a > 0 and b > 0 and c > 0 and coaccess.fit_power_law(d[:2], d[:2]) is None
+    assert (a, b, c) == pytest.approx((50, 0.5, 0.2), rel=1e-4) and coaccess.fit_power_law(d[:2], d[:2]) is None
+    rng = np.random.default_rng(1)
+    for _ in range(10):
+        x = np.sort(rng.uniform(60, 50_000, 30))
+        y = rng.uniform(1, 900) / x ** rng.uniform(0.2, 2) + rng.uniform(0, 2) + rng.normal(0, 0.05, 30)
+        a, b, c = coaccess.fit_power_law(x, y)
+        lost = lambda a, b, c: float(np.sum((a / x**b + c - y) ** 2))  # noqa: E731, B023
+        # no other parameters near by, and none of many others, fit better
+        tries = [(a * (1 + p), b + q, c + r) for p in (-0.01, 0, 0.01) for q in (-0.01, 0, 0.01) for r in (-0.01, 0, 0.01) if b + q > 0]
+        tries += [(rng.uniform(0, 2000), rng.uniform(0.05, 3), rng.uniform(0, 3)) for _ in range(500)]
+        assert lost(a, b, c) <= min(lost(*t) for t in tries) + 1e-9
     df = spark.createDataFrame([(1.0, 10), (1.0, 51), (2.0, -5)], "score double, distance_bp long")
     got = [r.corrected for r in coaccess.correct_distance(df, (1.0, 0.0, 1.0)).orderBy("distance_bp").collect()]
     assert got == [0.0, 0.0, 0.5]
@@ -175,3 +185,19 @@ def test_elbow_beyond_many_near_ties():
     assert coaccess.elbow_cutoff(v) == literal_elbow(v.tolist()) > v[64]
     flat = np.r_[np.zeros(5000), np.full(5000, 0.2), 1.0]
     assert coaccess.elbow_cutoff(flat) == literal_elbow(flat.tolist())
+
+
+def test_elbow_and_ranks_without_gathering(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    sets = [rng.exponential(1, 3000), np.round(rng.lognormal(0, 2, 800), 1) - 1, np.r_[np.zeros(500), np.full(500, 0.2), 1.0], np.full(40, 0.3), np.array([0.3, 0.3 + 1e-9]), np.array([2.0])]
+    for k, v in enumerate(sets):
+        df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i long, score double").repartition(3)
+        ranked, cutoff = coaccess.rank_by(df, "score", ["i"])
+        assert cutoff == pytest.approx(coaccess.elbow_cutoff(v)), k
+        got = {r.i: (r["rank"], r.is_super) for r in ranked.collect()}
+        order = sorted(range(len(v)), key=lambda i: (-v[i], i))
+        assert got == {i: (k + 1, bool(v[i] >= cutoff)) for k, i in enumerate(order)}
+    empty, cutoff = coaccess.rank_by(spark.createDataFrame([], "i long, score double").withColumn("x", F.lit(1)), "score", ["i"])
+    assert empty.count() == 0 and cutoff == float("inf")

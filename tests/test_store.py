@@ -1,10 +1,11 @@
 import gzip
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from strandframe.config import Config, load_config
+from strandframe.config import load_config, plan_of
 from strandframe.sources import export, normalize, text
 from strandframe.sources.rawlines import load_raw_lines
 from strandframe.sources.store import Store, build_store
@@ -39,7 +40,7 @@ def inputs(tmp_path_factory):
 def config(inputs, tmp_path_factory):
     out = tmp_path_factory.mktemp("store")
     layers = {"nucleosomes": inputs / "nuc.csv", "5mC": inputs / "mods.tsv.gz", "5hmC": inputs / "mods.tsv.gz", "6mA": inputs / "6ma.bed", "msp": inputs / "msp.bed", "fire_accessibility": inputs / "fire.bed"}
-    return Config(output_dir=out, samples=[{"name": "d0", "layers": layers}, {"name": "d4", "layers": {"nucleosomes": inputs / "nuc.csv"}}], annotations={"master": inputs / "notes.bed"}, parameters={"methylation_threshold": 0.7})
+    return plan_of(dict(output_dir=out, samples=[{"name": "d0", "layers": layers}, {"name": "d4", "layers": {"nucleosomes": inputs / "nuc.csv"}}], annotations={"master": inputs / "notes.bed"}, parameters={"methylation_threshold": 0.7}))
 
 
 @pytest.fixture(scope="module")
@@ -85,13 +86,13 @@ def test_lookups_prune_partitions(store):
 
 
 def test_rebuild_replaces_and_errors_name_all(spark, config, inputs, tmp_path):
-    alone = config.model_copy(update={"output_dir": tmp_path})
+    alone = replace(config, store=tmp_path / "again")
     build_store(spark, alone)
     again = Store(spark, build_store(spark, alone, ["d4"]))
     assert again.samples == ["d4"] and set(again.layers) == {"nucleosomes"}
     with pytest.raises(KeyError):
         build_store(spark, alone, ["d9"])
-    bad = Config(output_dir=tmp_path, samples=[{"name": "x", "layers": {"nucleosomes": inputs / "no1", "msp": inputs / "no2"}}])
+    bad = plan_of(dict(output_dir=tmp_path, samples=[{"name": "x", "layers": {"nucleosomes": inputs / "no1", "msp": inputs / "no2"}}]))
     with pytest.raises(FileNotFoundError, match="no1.*no2"):
         build_store(spark, bad)
     with pytest.raises(FileNotFoundError):
@@ -102,7 +103,7 @@ def test_config(tmp_path):
     p = tmp_path / "c.yaml"
     p.write_text("output_dir: /x\nsamples:\n  - name: d0\n    layers: {nucleosomes: /n.csv}\n")
     c = load_config(p)
-    assert c.output_path.name == "fiber_database" and c.sample_names == ["d0"] and c.parameters.min_msp_size == 10
+    assert c.store.name == "fiber_database" and list(c.layers) == ["d0"] and c.min_msp == 10 and c.threshold == 0.5
     for bad in ("output_dir: /x\nsamples: []\nextra: 1\n", "output_dir: /x\nsamples: [{name: a, layers: {msp: /m}}]\n", "output_dir: /x\nsamples: [{name: a, layers: {nucleosomes: /n, q: /m}}]\n", "output_dir: /x\nsamples: []\nparameters: {methylation_threshold: 2}\n"):
         p.write_text(bad)
         with pytest.raises(ValueError):
