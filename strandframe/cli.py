@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.config import load_config
-from strandframe.operators import coaccess
+from strandframe.operators import coaccess, validate
 from strandframe.operators.intervals import contained_pairs
 from strandframe.session import local_session, ship_modules
 from strandframe.sources import export, text
@@ -88,6 +88,24 @@ def _rank(a: argparse.Namespace) -> None:
     print(export.write_rows(clusters.withColumn("status", label).orderBy("rank"), out / "clusters.tsv", ["stitched_id", "corrected", "rank", "status", "elements", "element_a", "element_b", "n_both", "n_only_b", "n_only_a", "n_neither"]))
 
 
+def _validate(a: argparse.Namespace) -> None:
+    import json
+
+    spark = _session()
+    out = Path(a.outdir)
+    out.mkdir(parents=True, exist_ok=True)
+    cov = (text.read_lines(spark, a.old_cov), text.read_lines(spark, a.new_cov)) if a.old_cov and a.new_cov else None
+    found = validate.validation(
+        (text.pair_ranks(spark, a.old_pairs), text.pair_ranks(spark, a.new_pairs)),
+        (text.cluster_ranks(spark, a.old_clusters), text.cluster_ranks(spark, a.new_clusters)),
+        cov,
+        text.read_lines(spark, a.cov_difference) if a.cov_difference else None,
+    )
+    for name, rows in found.pop("tables").items():
+        export.write_rows(rows.orderBy(*rows.columns), out / f"{name}.tsv", rows.columns, header=True)
+    (out / "validation_summary.json").write_text(json.dumps(found, indent=2, default=str) + "\n")
+
+
 def _normalize(a: argparse.Namespace) -> None:
     spark = _session()
     if a.kind == "nucleosomes":
@@ -154,6 +172,11 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--outdir", required=True)
     c.add_argument("--threshold", type=float, default=coaccess.THRESHOLD)
     c.add_argument("--no-distance-correction", action="store_true")
+    c = command("validate", _validate, to=co)
+    for name in ("old-pairs", "new-pairs", "old-clusters", "new-clusters", "outdir"):
+        c.add_argument(f"--{name}", required=True)
+    for name in ("old-cov", "new-cov", "cov-difference"):
+        c.add_argument(f"--{name}")
     return p
 
 

@@ -79,6 +79,11 @@ def annotation_regions(regions: DataFrame, annotation: str) -> DataFrame:
     return rows.withColumn("id", F.coalesce("id", F.concat(F.col("annotation"), F.lit("_"), F.col("_k").cast("string")))).drop("_k").orderBy("ord")
 
 
+def regions_by_chromosome(regions: DataFrame) -> DataFrame:
+    """chrom and its ``regions``, each with start, end and id, in order of their starts: one row a chromosome, for loops over them."""
+    return regions.groupBy("chrom").agg(F.array_sort(F.collect_list(F.struct("start", "end", "id"))).alias("regions"))
+
+
 def annotation_by_id(regions: DataFrame, region_id: str) -> DataFrame:
     """First region, in file order, with an id, looked for under the type that the id names without its last part."""
     kind = region_id.rpartition("_")[0] or region_id

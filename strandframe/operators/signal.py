@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandframe.config import METHYLATION_THRESHOLD
 from strandframe.operators.access import spanning_fibers
 from strandframe.session import broadcast_if_small
 
@@ -32,6 +33,13 @@ EXTENSION = {
 }
 
 
+def is_call(m5c: DataFrame, threshold: float = METHYLATION_THRESHOLD) -> Column:
+    """Whether a call is methylated: as the layer says, or by its probability where the layer has no such column; else null."""
+    if "is_methylated" in m5c.columns:
+        return F.col("is_methylated")
+    return F.col("prob") >= F.lit(threshold) if "prob" in m5c.columns else F.lit(None).cast("boolean")
+
+
 def nan_mean(total: np.ndarray, count: np.ndarray) -> np.ndarray:
     with np.errstate(invalid="ignore", divide="ignore"):
         return np.where(count > 0, total / count, np.nan)
@@ -127,7 +135,7 @@ def region_fibers(regions: DataFrame, fibers: DataFrame, layers: dict[str, DataF
     spans = spans.join(broadcast_if_small(extra, []), F.col("ord") == F.col("_ord")).drop("_ord")
     keys = ["sample", "chrom", "fiber_int_id"]
     nuc = layers["nucleosomes"].select(*keys, F.lit("n").alias("kind"), F.col("start").alias("a"), F.col("end").alias("b"), F.lit(0.0).alias("v"), "ord")
-    met = layers["5mC"].select(*keys, F.lit("m").alias("kind"), F.col("pos").alias("a"), (F.col("pos") + 1).alias("b"), F.col("is_methylated").cast("double").alias("v"), "ord")
+    met = layers["5mC"].select(*keys, F.lit("m").alias("kind"), F.col("pos").alias("a"), (F.col("pos") + 1).alias("b"), is_call(layers["5mC"]).cast("double").alias("v"), "ord")
     calls = nuc.unionByName(met).where("v is not null and a is not null and b is not null").select(*[F.col(k).alias(f"c_{k}") for k in keys], "kind", "a", "b", "v", F.col("ord").alias("c_ord"))
     on = [F.col(k) == F.col(f"c_{k}") for k in keys] + [F.col("b") > F.col("rs") - F.col("flank"), F.col("a") < F.col("re") + F.col("flank")]
     group = ["ord", "sample", "chrom", "fiber_int_id", "fs", "fe", "rs", "re", "flank"]
@@ -343,14 +351,21 @@ def occupancy_profile(regions: DataFrame, fibers: DataFrame, nucleosomes: DataFr
     n = nucleosomes.select(*[F.col(k).alias(f"c_{k}") for k in ("sample", "chrom", "fiber_int_id")], F.col("start").alias("a"), F.col("end").alias("b"))
     on = [F.col(k) == F.col(f"c_{k}") for k in ("sample", "chrom", "fiber_int_id")] + [F.col("b") > F.col("rs"), F.col("a") < F.col("re")]
     hit = spans.join(n, on).select("ord", "sample", "fiber_int_id", (F.greatest("a", "rs") - F.col("rs")).alias("lo"), (F.least("b", "re") - F.col("rs")).alias("hi")).where("hi > lo")
-    bases = hit.select("ord", "sample", "fiber_int_id", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("place")).distinct()
-    return bases.groupBy("ord", "place").agg(F.count(F.lit(1)).alias("covered"))
+    # what an interval adds to those before it on its fiber; then only where a region's depth changes is a row
+    w = Window.partitionBy("ord", "sample", "fiber_int_id").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    added = hit.withColumn("lo", F.greatest("lo", F.max("hi").over(w))).where("hi > lo")
+    step = lambda c, by: F.struct(F.col(c).alias("place"), F.lit(by).alias("by"))
+    steps = added.select("ord", F.inline(F.array(step("lo", 1), step("hi", -1)))).groupBy("ord", "place").agg(F.sum("by").alias("by"))
+    along = Window.partitionBy("ord").orderBy("place")
+    depth = steps.select("ord", "place", F.sum("by").over(along).alias("covered"), F.lead("place").over(along).alias("until")).where("covered > 0")
+    return depth.select("ord", F.explode(F.sequence("place", F.col("until") - 1)).alias("place"), "covered")
 
 
 def methylation_bins(regions: DataFrame, fibers: DataFrame, m5c: DataFrame, size: int = BIN_SIZE) -> DataFrame:
     """Mean over fibers of each fiber's methylated share in bins of a region: ord, bin, ``mean_methylation`` (JVM only)."""
     spans = spanning_fibers(fibers, regions, 0.0).select("ord", "sample", "chrom", "fiber_int_id", "rs", "re", "fs", "fe")
-    c = m5c.where("is_methylated is not null").select(*[F.col(k).alias(f"c_{k}") for k in ("sample", "chrom", "fiber_int_id")], "pos", F.col("is_methylated").cast("double").alias("v"))
+    called = is_call(m5c)
+    c = m5c.where(called.isNotNull()).select(*[F.col(k).alias(f"c_{k}") for k in ("sample", "chrom", "fiber_int_id")], "pos", called.cast("double").alias("v"))
     on = [F.col(k) == F.col(f"c_{k}") for k in ("sample", "chrom", "fiber_int_id")] + [F.col("pos") >= F.col("rs"), F.col("pos") < F.col("re"), F.col("pos") >= F.col("fs"), F.col("pos") < F.col("fe")]
     per = spans.join(c, on).withColumn("bin", F.floor((F.col("pos") - F.col("rs")) / size)).groupBy("ord", "sample", "fiber_int_id", "bin").agg(F.avg("v").alias("v"))
     return per.groupBy("ord", "bin").agg(F.avg("v").alias("mean_methylation"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.operators.ordering import running_total
+from strandframe.session import checkpointed
 
 TOP_K = (10, 50, 100, 500, 1000, 5000, 10_000, 50_000)
 
@@ -79,6 +80,57 @@ def half_jaccard() -> Column:
     return 2 * F.col("n_both") == F.col("n_only_b") + F.col("n_only_a")
 
 
+def agreement(left: DataFrame, right: DataFrame, keys: list[str], left_name: str = "left", right_name: str = "right") -> DataFrame:
+    """One row of how two rankings (keys, score, rank, is_super; one row a key) agree.
+
+    Rows and keys of each, shared and unshared keys, Pearson and Spearman of scores, Spearman of ranks, and how the classes of
+    shared keys coincide. Empty rankings have counts of 0 and null correlations.
+    """
+    a = left.select(*keys, F.struct("score", "rank", "is_super").alias("l"))
+    b = right.select(*keys, F.struct("score", "rank", "is_super").alias("r"))
+    both = checkpointed(a.join(b, keys, "full_outer"))
+    n = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    has_l, has_r = F.col("l").isNotNull(), F.col("r").isNotNull()
+    counts = both.agg(n(has_l, f"{left_name}_rows"), n(has_r, f"{right_name}_rows"), n(has_l & has_r, "shared"), n(has_l & ~has_r, f"{left_name}_only"), n(has_r & ~has_l, f"{right_name}_only"))
+    shared = both.where(has_l & has_r).select("l.*", F.col("r.score").alias("score_r"), F.col("r.rank").alias("rank_r"), F.col("r.is_super").alias("super_r"))
+    scores = correlations(shared, "score", "score_r").select(F.col("pearson").alias("score_pearson"), F.col("spearman").alias("score_spearman"))
+    ranks = correlations(shared, "rank", "rank_r").select(F.col("spearman").alias("rank_spearman"))
+    classes = confusion(shared, "is_super", "super_r")
+    classes = classes.select(*[F.col(c).alias(f"super_{c}") for c in classes.columns])
+    return counts.join(scores).join(ranks).join(classes)  # each is one row
+
+
+def unordered(pairs: DataFrame) -> DataFrame:
+    """One row a pair of a region whichever way round it was listed: of several the best ranked."""
+    key = [F.col("stitched_id"), F.least("element_a", "element_b").alias("key_a"), F.greatest("element_a", "element_b").alias("key_b")]
+    return pairs.select(*key, F.struct("rank", "score", "is_super").alias("p")).groupBy("stitched_id", "key_a", "key_b").agg(F.min("p").alias("p")).select("stitched_id", "key_a", "key_b", "p.*")
+
+
+def validation(pairs: tuple[DataFrame, DataFrame], clusters: tuple[DataFrame, DataFrame], coverage: tuple[DataFrame, DataFrame] | None = None, difference: DataFrame | None = None) -> dict:
+    """How the results of an earlier run agree with those of a new one: a summary of numbers, and the tables behind it.
+
+    ``pairs`` and ``clusters`` are each the earlier and the new ranking; ``coverage`` the lines of both coverage tables, of
+    which the earlier may hold the lines of ``difference`` besides those of the new.
+    """
+    key = ["stitched_id", "key_a", "key_b"]
+    old, new = (checkpointed(unordered(p)) for p in pairs)
+    top = top_k_overlap(old, new, key, "rank")
+    only_new = clusters[1].join(clusters[0].select("stitched_id"), "stitched_id", "left_anti")
+    suspicious = only_new.where(half_jaccard()).count() if "n_both" in only_new.columns else 0
+    out = {
+        "pairs": agreement(old, new, key).first().asDict() | {"left_listed": pairs[0].count(), "right_listed": pairs[1].count()},
+        "clusters": agreement(*clusters, ["stitched_id"]).first().asDict() | {"right_only_half_jaccard": suspicious},
+        "top_k": [r.asDict() for r in top.orderBy("k").collect()],
+        "tables": {"pair_membership": membership(old, new, key), "cluster_membership": membership(*[c.select("stitched_id") for c in clusters], ["stitched_id"]), "top_k_overlap": top},
+    }
+    if coverage is not None:
+        a, b = (line_fingerprint(c) for c in coverage)
+        out["coverage"] = {"left": a, "right": b, "equal": a == b}
+        if difference is not None:
+            out["coverage"]["right_and_difference_are_left"] = composes(a, b, line_fingerprint(difference))
+    return out
+
+
 def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Order-free fingerprint: rows, exclusive-or and sum of a 64-bit hash of each row's columns."""
     h = F.xxhash64(*columns)

@@ -324,6 +324,22 @@ def coaccess_distance_bins(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(coaccess.distance_chunks(coaccess.pair_scores(table(spark, d, "cov_bed")), rows=100), "distance", "score", digits=6)
 
 
+_ELBOW = """, ev as (select *, row_number() over (order by score) - 1 i from sc), ep as (select count(*) n, (max(score) - min(score)) / count(*) slope, median(score) med, avg(score) mean from sc),
+ec as (select a.i, any_value(a.score) v, count(*) k from ev a, ep, ev b where b.score <= slope * (b.i + 1) + (a.score - slope * a.i) group by a.i), cut as (select v from ec order by k, i limit 1)"""
+
+
+@query(_PAIRS + _ELBOW + " select stitched_id, element_a, element_b, row_number() over (order by score desc, stitched_id, element_a, element_b) rank, score >= (select v from cut) is_super from sc")
+def coaccess_super_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs ranked by the score as it is, with the elbow's class."""
+    return coaccess.rank_pairs(table(spark, d, "cov_bed"), distance_correct=False)[0].select("stitched_id", "element_a", "element_b", "rank", "is_super")
+
+
+@query(_PAIRS + _ELBOW + " select n - row_number() over (order by score desc, stitched_id, element_a, element_b) + 1 x, round(score, 6) y, score >= v above, round(v / med, 6) fold_over_median, round(v / mean, 6) fold_over_mean from sc, ep, cut")
+def coaccess_elbow_rows(spark: SparkSession, d: str) -> DataFrame:
+    ranked, cutoff = coaccess.rank_by(coaccess.pair_scores(table(spark, d, "cov_bed")), "score", ["stitched_id", "element_a", "element_b"])
+    return _rounded(coaccess.elbow_rows(ranked, "score", cutoff), "y", "fold_over_median", "fold_over_mean", digits=6)
+
+
 @query()
 def coaccess_ranked(spark: SparkSession, d: str) -> DataFrame:
     """Pairs ranked by the distance-corrected score with the elbow's class."""
@@ -382,6 +398,27 @@ def rank_confusion(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(validate.confusion(both, "a", "b"), "agreement", digits=6)
 
 
+@query(
+    _BOTH
+    + """, f as (select *, old_score is not null l, new_score is not null r from old full join new using (stitched_id, key_a, key_b)), j as (select *, old_score x, new_score y from f where l and r),
+rk as (select x, y, rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 rx, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 ry from j)
+select count(*) filter (where l) left_rows, count(*) filter (where r) right_rows, count(*) filter (where l and r) shared, count(*) filter (where l and not r) left_only, count(*) filter (where r and not l) right_only,
+  (select round(corr(x, y), 6) from rk) score_pearson, (select round(corr(rx, ry), 6) from rk) score_spearman,
+  (select count(*) from j where old_status = 'Super' and new_score >= 1) super_both, (select count(*) from j where (old_status = 'Super') <> (new_score >= 1)) super_differ from f"""
+)
+def rank_validation(spark: SparkSession, d: str) -> DataFrame:
+    old = _earlier(spark, d).select(*_PAIR_KEY, F.col("old_score").alias("score"), F.lit(0).alias("rank"), (F.col("old_status") == "Super").alias("is_super"))
+    new = _new(spark, d).select(*_PAIR_KEY, F.col("new_score").alias("score"), F.lit(0).alias("rank"), (F.col("new_score") >= 1).alias("is_super"))
+    out = validate.agreement(old, new, _PAIR_KEY).withColumn("super_differ", F.col("super_left_only") + F.col("super_right_only"))
+    return _rounded(out.select("left_rows", "right_rows", "shared", "left_only", "right_only", "score_pearson", "score_spearman", "super_both", "super_differ"), "score_pearson", "score_spearman", digits=6)
+
+
+@query(with_("reg") + """ select chrom, string_agg(rs || '-' || re || ':' || id, ',' order by rs, re, id) regions from reg group by 1""")
+def regions_by_chromosome(spark: SparkSession, d: str) -> DataFrame:
+    one = lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["end"].cast("string"), F.lit(":"), r["id"])
+    return access.regions_by_chromosome(t.annotations(spark, d)).select("chrom", F.array_join(F.transform("regions", one), ",").alias("regions"))
+
+
 @query(
     _BOTH
     + """, l as (select *, row_number() over (order by old_score desc, stitched_id, key_a, key_b) r from old), n as (select *, row_number() over (order by new_score desc, stitched_id, key_a, key_b) r from new),

@@ -47,3 +47,34 @@ def test_stream_of_raw_lines(spark, tmp_path):
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "ok")).count() == 20 and spark.read.parquet(str(tmp_path / "bad")).count() == 10
     assert windowed_counts(raw_line_stream(spark, str(tmp_path / "in")), "loaded_at", ["fmt"]).isStreaming
+
+
+def test_validation_of_two_rankings(spark, tmp_path):
+    import json
+
+    head = "a\tb\ts\tscore\trank\tclass\n"
+    # the earlier run lists each pair both ways
+    (tmp_path / "op").write_text(head + "x\ty\tr1\t5\t1\tSuper\ny\tx\tr1\t5\t1\tSuper\nu\tv\tr2\t1\t2\t\nv\tu\tr2\t1\t2\t\n")
+    (tmp_path / "np").write_text(head + "y\tx\tr1\t4\t1\tSuper\nu\tv\tr2\t2\t2\tSuper\np\tq\tr3\t1\t3\t\n")
+    head = "s\tscore\trank\tclass\telements\tpair\ta\tb\tc\td\n"
+    (tmp_path / "oc").write_text(head + "r1\t5\t1\tSuper\nr2\t1\t2\t\n")
+    (tmp_path / "nc").write_text(head + "r1\t4\t1\tSuper\tx\tx\t3\t1\t1\t0\nr2\t2\t2\t\tx\tx\t3\t1\t1\t0\nr3\t1\t3\t\tx\tx\t1\t1\t1\t0\n")
+    (tmp_path / "ov").write_text("l1\nl2\nl3\n")
+    (tmp_path / "nv").write_text("l3\nl1\n")
+    (tmp_path / "dv").write_text("l2\n")
+    names = {"old-pairs": "op", "new-pairs": "np", "old-clusters": "oc", "new-clusters": "nc", "old-cov": "ov", "new-cov": "nv", "cov-difference": "dv", "outdir": "out"}
+    assert cli.main(["coaccess", "validate", *[x for k, v in names.items() for x in (f"--{k}", str(tmp_path / v))]]) == 0
+    got = json.loads((tmp_path / "out" / "validation_summary.json").read_text())
+    p = got["pairs"]
+    assert (p["left_listed"], p["left_rows"], p["right_rows"], p["shared"], p["right_only"]) == (4, 2, 3, 2, 1) and p["score_pearson"] == 1 and p["super_both"] == 1 and p["super_right_only"] == 1
+    assert got["clusters"]["right_only"] == 1 and got["clusters"]["right_only_half_jaccard"] == 1
+    assert not got["coverage"]["equal"] and got["coverage"]["right_and_difference_are_left"] and got["top_k"][0]["overlap"] == 2
+    assert (tmp_path / "out" / "pair_membership.tsv").exists()
+
+
+def test_flags_hold_before_the_file(spark, tmp_path, monkeypatch):
+    (tmp_path / "c.yaml").write_text(f"output_dir: {tmp_path}\nsamples:\n  - name: d0\n    layers: {{nucleosomes: /n.csv}}\nparameters: {{min_msp_size: 4}}\n")
+    seen = []
+    monkeypatch.setattr(cli, "build_store", lambda spark, plan, samples: seen.append(plan))
+    assert cli.main(["build", "--config", str(tmp_path / "c.yaml"), "--output", "/elsewhere", "--methylation-threshold", "0.8"]) == 0
+    assert str(seen[0].store) == "/elsewhere" and seen[0].threshold == 0.8 and seen[0].min_msp == 4

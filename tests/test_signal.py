@@ -87,3 +87,12 @@ def test_profiles(spark):
     assert got[2, 0] == 1 and (2, 150) not in got and got[2, 549] == 1
     m = {(r.ord, r.bin): r.mean_methylation for r in signal.methylation_bins(fx.regions(spark), fx.fibers(spark), fx.layers(spark)["5mC"]).collect()}
     assert m == {(0, 0): 0.0, (0, 4): 1.0, (1, 6): 1.0, (1, 10): 0.0, (2, 1): 1.0, (2, 5): 0.0, (2, 9): 1.0, (2, 13): 0.0}
+
+
+def test_calls_by_probability_where_no_call_is_stored(spark):
+    from strandframe.operators.signal import is_call
+
+    df = spark.createDataFrame([(0.4,), (0.5,), (None,)], "prob double")
+    assert [r[0] for r in df.select(is_call(df)).collect()] == [False, True, None]
+    bare = spark.createDataFrame([(1,)], "pos long")
+    assert bare.select(is_call(bare)).first()[0] is None
