@@ -9,6 +9,7 @@ a source come out within one document of their target.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,9 @@ def _tokens(vocabulary: str, pattern: str):
         import base64
 
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(vocabulary, "rb") as f:
+        with open(SparkFiles.get(vocabulary), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
@@ -42,9 +44,13 @@ def _tokens(vocabulary: str, pattern: str):
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
-    """doc_id, source and tokens of each whole text by a public tokenizer; a null or empty text has none."""
+    """doc_id, source and tokens of each whole text by a public tokenizer; a null or empty text has none.
+
+    ``tokenizer`` is the path of its vocabulary at the driver, from where the session brings the file to the workers.
+    """
+    documents.sparkSession.sparkContext.addFile(tokenizer)
     src = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(_tokens(tokenizer, pattern), "doc_id long, source string, n_tokens long")
+    return src.mapInArrow(_tokens(os.path.basename(tokenizer), pattern), "doc_id long, source string, n_tokens long")
 
 
 def plan_epochs(tokens: dict[str, int], targets: dict[str, tuple[float, int]]) -> dict[str, float]:

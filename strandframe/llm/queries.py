@@ -86,6 +86,21 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(mix(token_counts(table(spark, d, "documents")), targets), targets)
 
 
+def p8_within_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each source with a target and documents keeps its cap, and its share within one document's tokens."""
+    targets = table(spark, d, "mix_targets")
+    counts = token_counts(table(spark, d, "documents"))
+    mixed = mix(counts, targets)
+    most = counts.agg(F.max("n_tokens").alias("largest"))
+    caps = targets.groupBy(F.col("source").alias("s")).agg(F.min("max_repeats").alias("cap"), F.max("target_share").alias("target"))
+    per = mixed.groupBy("source").agg(F.max("copies").alias("copies"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"))
+    per = per.join(F.broadcast(caps), F.col("source") == F.col("s"))  # a row a configured source
+    total = per.agg(F.sum("tokens").alias("all_tokens"), F.sum("target").alias("all_target"))
+    off = F.abs(F.col("tokens") - F.col("all_tokens") * F.col("target") / F.col("all_target"))
+    # the total may be off by a document of each source as well
+    return per.join(total).join(most).select("source", (F.col("copies") <= F.col("cap")).alias("within_cap"), (off <= 2 * F.col("largest")).alias("within_share"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return truncated(table(spark, d, "documents")).select("doc_id")
 
@@ -95,7 +110,7 @@ def p9_rate_per_source(spark: SparkSession, d: str) -> DataFrame:
     return rate_per_source(docs, truncated(docs))
 
 
-QUERIES = {f.__name__: f for f in (p3_percentiles, p3_monthly_medians, p3_within_bound, p5_found, p5_pair_ratios, p7_found, p7_leaks_per_item, p7_as_written, p8_mixture, p8_shares, p9_found, p9_rate_per_source)}
+QUERIES = {f.__name__: f for f in (p3_percentiles, p3_monthly_medians, p3_within_bound, p5_found, p5_pair_ratios, p7_found, p7_leaks_per_item, p7_as_written, p8_mixture, p8_shares, p8_within_bounds, p9_found, p9_rate_per_source)}
 
 _PAIRS = """
 with b as (
@@ -120,6 +135,7 @@ ORACLES = {
     "p7_as_written": "with " + _GRAMS.format(t="d", i="doc_id", c="text", f="documents") + ",\n" + _GRAMS.format(t="q", i="item_id", c="item_text", f="eval_items")
     + "\nselect distinct d_grams.i doc_id, q_grams.i item_id from d_grams join q_grams using (g)",
     "p3_within_bound": _VALUES + f"select sample, measure, s.share, n, true within_bound from n, (select unnest({PERCENTILES})::double share) s",
+    "p8_within_bounds": "select source, true within_cap, true within_share from mix_targets where target_share > 0 and max_repeats > 0 and source in (select source from documents where text <> '')",
     "p5_found": _PAIRS + "select stitched_id, element_a, element_b from r where n_ab >= 10 and n_ab * n >= 2 * n_a * n_b",
     "p5_pair_ratios": _PAIRS
     + """select *, round(n_ab * n / (n_a * n_b)::double, 6) lift,
