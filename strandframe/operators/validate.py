@@ -51,6 +51,7 @@ def average_ranks(rows: DataFrame, value: str, out: str) -> DataFrame:
 def correlations(pairs: DataFrame, x: str, y: str) -> DataFrame:
     """``n``, ``pearson`` and ``spearman`` of two columns, over rows that have both."""
     rows = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    rows = checkpointed(rows)  # each ranking reads them twice
     ranked = average_ranks(average_ranks(rows, "x", "rx"), "y", "ry")
     return ranked.agg(F.count(F.lit(1)).alias("n"), pearson(F.col("x"), F.col("y")).alias("pearson"), pearson(F.col("rx"), F.col("ry")).alias("spearman"))
 

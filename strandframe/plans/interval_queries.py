@@ -331,7 +331,7 @@ ec as (select a.i, any_value(a.score) v, count(*) k from ev a, ep, ev b where b.
 @query(_PAIRS + _ELBOW + " select stitched_id, element_a, element_b, row_number() over (order by score desc, stitched_id, element_a, element_b) rank, score >= (select v from cut) is_super from sc")
 def coaccess_super_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs ranked by the score as it is, with the elbow's class."""
-    return coaccess.rank_pairs(table(spark, d, "cov_bed"), distance_correct=False)[0].select("stitched_id", "element_a", "element_b", "rank", "is_super")
+    return coaccess.ranked_pairs(coaccess.corrected_scores(table(spark, d, "cov_bed"), distance_correct=False)).select("stitched_id", "element_a", "element_b", "rank", "is_super")
 
 
 @query(_PAIRS + _ELBOW + " select n - row_number() over (order by score desc, stitched_id, element_a, element_b) + 1 x, round(score, 6) y, score >= v above, round(v / med, 6) fold_over_median, round(v / mean, 6) fold_over_mean from sc, ep, cut")
@@ -343,7 +343,7 @@ def coaccess_elbow_rows(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def coaccess_ranked(spark: SparkSession, d: str) -> DataFrame:
     """Pairs ranked by the distance-corrected score with the elbow's class."""
-    return coaccess.rank_pairs(table(spark, d, "cov_bed"))[0]
+    return coaccess.ranked_pairs(coaccess.corrected_scores(table(spark, d, "cov_bed")))
 
 
 @query(
