@@ -164,10 +164,12 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     rows = rows.select("grp", "item", "basket").where("grp is not null and item is not null and basket is not null")
     items = _numbered(rows.select("grp", "item").distinct(), ["grp", "item"])
     chunks = items.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / ITEMS_PER_CHUNK).cast("long").alias("n_chunks"))
-    placed = items.join(broadcast_if_small(chunks, ["grp"]), "grp").withColumn("chunk", F.pmod("code", "n_chunks"))
+    many = (chunks.agg(F.max("n_chunks")).first()[0] or 0) > 1
+    one = F.lit(1).cast("long")
+    placed = items.join(broadcast_if_small(chunks, ["grp"]), "grp") if many else items.withColumn("n_chunks", one)
+    placed = placed.withColumn("chunk", F.pmod("code", "n_chunks"))
     coded = rows.join(broadcast_if_small(placed, ["grp", "item"]), ["grp", "item"]).select("grp", "basket", "chunk", "n_chunks", "code")
     baskets = coded.groupBy("grp", "basket", "chunk", "n_chunks").agg(F.array_sort(F.collect_set("code")).alias("items"))
-    many = chunks.where("n_chunks > 1").limit(1).count() > 0
     baskets = checkpointed(baskets) if many else baskets
     alike = checkpointed(baskets.groupBy("grp", "n_chunks", "items").agg(F.count(F.lit(1)).alias("weight")))
     # a basket of a group of one chunk is one row; of the others the distinct baskets are counted
